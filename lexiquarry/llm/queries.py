@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiquarry.llm import minhash
+from lexiquarry.llm import bpe, minhash, mixing, quality, rules, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,5 +17,47 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, _table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def tokenizer_file(name: str) -> str:
+    """A vocabulary file of the public tokenizers, where they are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark, _table(spark, sf_dir, "documents"), repeats=2.0)
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_bounded_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(spark, _table(spark, sf_dir, "documents"), shards=24)
+
+
+_QUERIES = (
+    op2_bpe_encode_decode,
+    op4_quality_rules,
+    op5_toxicity,
+    op7_minhash_near_dedup,
+    op8_temperature_mixing,
+    op9_quality_classifier,
+    op10_bounded_ring_sharding,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_minhash_near_dedup,)}
+    return {f.__name__: f for f in _QUERIES}
