@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiquarry.llm import bpe, minhash, mixing, quality, rules, sharding, toxicity
+from lexiquarry.llm import bpe, egojoin, minhash, mixing, quality, rules, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return egojoin.near_duplicates(spark, _table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -49,6 +53,7 @@ def op10_bounded_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = (
+    op1_embedding_near_dedup,
     op2_bpe_encode_decode,
     op4_quality_rules,
     op5_toxicity,
