@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiquarry.llm import bpe, egojoin, minhash, mixing, quality, rules, sharding, toxicity
+from lexiquarry.llm import bpe, egojoin, licenses, minhash, mixing, quality, rules, sharding, toxicity, unigram
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.token_counts(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, _table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
@@ -32,6 +36,10 @@ def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -55,8 +63,10 @@ def op10_bounded_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     op1_embedding_near_dedup,
     op2_bpe_encode_decode,
+    op3_license_scan,
     op4_quality_rules,
     op5_toxicity,
+    op6_token_counts,
     op7_minhash_near_dedup,
     op8_temperature_mixing,
     op9_quality_classifier,
@@ -64,5 +74,9 @@ _QUERIES = (
 )
 
 
+def oracle_sql() -> dict[str, str]:
+    return {}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in _QUERIES}
