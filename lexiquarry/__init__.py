@@ -1,0 +1 @@
+"""A full-text retrieval and text-analytics engine on PySpark."""

@@ -215,7 +215,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 2, perc
     sets = scratch.keep(sets.join(reps.select(F.col("rep").alias("id"), "d1", "d2"), ["id", "d1", "d2"], "left_semi").dropDuplicates(["id"]).select("id", "shingles"))
     right = sets.select(F.col("id").alias("leader"), F.col("shingles").alias("other"))
     links = scratch.keep(
-        pairs.join(sets.withColumnRenamed("id", "rep"), "rep").join(right, "leader").select("rep", "leader", "shingles", "other").mapInArrow(_linked(percent), "rep long, leader long")
+        pairs.join(sets.withColumnRenamed("id", "rep").hint("merge"), "rep").join(right.hint("merge"), "leader").select("rep", "leader", "shingles", "other").mapInArrow(_linked(percent), "rep long, leader long")
     ).select(F.col("rep").alias("u"), F.col("leader").alias("v"))
     comps = components(scratch, links)
 
@@ -233,7 +233,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 2, perc
     # task (grp, i, j): strays of block i against block j of the strays (j >= i) or of the main component (ns + its block)
     first = people.where("stray").select("grp", "rep", "comp", F.lit(0).alias("side"), F.col("at").alias("i"), F.explode(F.expr("sequence(at, ns + nm - 1)")).alias("j"))
     second = people.select("grp", "rep", "comp", F.lit(1).alias("side"), F.explode(F.expr("sequence(0, if(stray, at, ns - 1))")).alias("i"), F.expr("if(stray, at, ns + at)").alias("j"))
-    tasks = first.unionByName(second).join(sets.withColumnRenamed("id", "rep"), "rep")
+    tasks = first.unionByName(second).join(sets.withColumnRenamed("id", "rep").hint("merge"), "rep")
     more = tasks.groupBy("grp", "i", "j").applyInArrow(_block_links(percent), "u long, v long")
     final = components(scratch, links.unionByName(scratch.keep(more)))
     scratch.drop(sets, led, pairs, loose)
