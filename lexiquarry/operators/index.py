@@ -100,4 +100,4 @@ def delta_encode(positions: str) -> str:
 
 
 def delta_decode(deltas: str) -> str:
-    return f"aggregate({deltas}, cast(array() as array<int>), (a, d) -> array_append(a, coalesce(element_at(a, -1), 0) + d))"
+    return f"aggregate({deltas}, cast(array() as array<int>), (a, d) -> array_append(a, coalesce(try_element_at(a, -1), 0) + d))"

@@ -6,7 +6,7 @@ import gzip
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from lexiquarry.functions.analysis import clean_markup
 
@@ -85,13 +85,13 @@ def update_content(documents: DataFrame, changes: DataFrame) -> DataFrame:
     return out.withColumn("content", F.when(F.col("hit"), F.col("new")).otherwise(F.col("content"))).select(*documents.columns)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def compress(text: pd.Series) -> pd.Series:
     """gzip of the UTF-8; null and empty texts give an empty value."""
     return text.map(lambda t: gzip.compress(t.encode(), mtime=0) if t else b"")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decompress(data: pd.Series) -> pd.Series:
     return data.map(lambda b: gzip.decompress(bytes(b)).decode() if b else "")
 
