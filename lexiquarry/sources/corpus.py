@@ -6,6 +6,7 @@ import gzip
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from lexiquarry.functions.analysis import clean_markup
@@ -52,14 +53,15 @@ def read_corpus(spark: SparkSession, path: str, flush_tail: bool = False, keep_b
     A file is read by one task, since only its start tells titles from contents.
     """
 
-    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for name, value in zip(part["file"], part["value"], strict=True):
-                rows = parse_corpus(value, flush_tail, keep_blank)
-                yield pd.DataFrame({"file": [name] * len(rows), "at": range(len(rows)), "title": [t for t, _ in rows], "content": [c for _, c in rows]})
+            for name, value in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                rows = [(name, k, t, c) for k, (t, c) in enumerate(parse_corpus(value, flush_tail, keep_blank))]
+                columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], ["file", "at", "title", "content"])
 
     files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
-    docs = files.mapInPandas(parse, "file string, at long, title string, content string")
+    docs = files.mapInArrow(parse, "file string, at long, title string, content string")
     # numbers by file: offsets are summed over files, not over documents
     sizes = docs.groupBy("file").agg(F.count("*").alias("n"))
     sizes = sizes.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("base"))
