@@ -210,9 +210,9 @@ def _pairs(scratch: Scratch, nodes: DataFrame, eps2: float) -> DataFrame:
         up = up.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("axis", "l", "h"))).alias("s"))
         levels.append(scratch.keep(up.select("node", F.col("s.l").alias("lo"), F.col("s.h").alias("hi"))))
     far = f"aggregate(zip_with(zip_with(al, bh, (x, y) -> x - y), zip_with(bl, ah, (x, y) -> x - y), (x, y) -> pow(greatest(0D, x, y), 2)), 0D, (s, x) -> s + x) <= {eps2!r}D"
-    pairs = scratch.spark.range(1).select(F.lit(0).cast("long").alias("pa"), F.lit(0).cast("long").alias("pb"))
-    for depth, level in enumerate(reversed(levels)):
-        up = F.lit(0).cast("long") if depth == 0 else F.expr(f"node div {FAN}")
+    pairs = scratch.spark.range(1).selectExpr("id as pa", "id as pb")  # above the top level, whose nodes are numbered below FAN
+    up = F.expr(f"node div {FAN}")
+    for level in reversed(levels):
         left = level.select(F.col("node").alias("a"), F.col("lo").alias("al"), F.col("hi").alias("ah"), up.alias("pa"))
         right = level.select(F.col("node").alias("b"), F.col("lo").alias("bl"), F.col("hi").alias("bh"), up.alias("pb"))
         found = pairs.join(left, "pa").join(right, "pb").where("a <= b").where(far)
