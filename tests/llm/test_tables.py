@@ -1,0 +1,242 @@
+"""Mixing, sharding, license scans and the pipeline against brute force."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+
+import corpus_pipeline
+from lexiquarry.llm import bpe, licenses, mixing, sharding
+from lexiquarry.llm.queries import tokenizer_file
+
+SF = "/root/testdata/sf0.001"
+
+
+def sourced(spark, sizes, seed=1):
+    r = random.Random(seed)
+    rows, k = [], 0
+    for s, n in sizes.items():
+        for _ in range(n):
+            rows.append((k, "w " * r.randint(0, 9), s, "h"))
+            k += 1
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, block string")
+
+
+@pytest.mark.parametrize("limit", [1.0, 1.5, 2.0, 4.0])
+def test_mixing_meets_the_repetition_limit(spark, limit):
+    docs = sourced(spark, {"a": 300, "b": 60, "c": 7, None: 20})
+    rows = mixing.mix(spark, docs, repeats=limit).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(range(387))
+    share = defaultdict(int)
+    used = defaultdict(int)
+    for r in rows:
+        share[r["source"]] += r["n_tokens"]
+        used[r["source"]] += r["n_tokens"] * r["repeats"]
+        assert r["repeats"] >= 1 and r["repeats"] <= math.ceil(limit)
+    weight = {r["source"]: r["weight"] for r in rows}
+    assert sum(weight.values()) == pytest.approx(1, abs=1e-5)
+    # the exponent: weights are powers of shares
+    total = sum(share.values())
+    a = [math.log(weight[s] / weight["a"]) / math.log(share[s] / share["a"]) for s in ("b", "c", None)]
+    assert max(a) - min(a) < 1e-3
+    assert max((weight[s] / (share[s] / total)) / (weight["a"] / (share["a"] / total)) for s in share) <= limit + 1e-3
+    budget = share["a"] / weight["a"]
+    for s in share:
+        assert abs(used[s] - budget * weight[s]) <= 9 + 1e-3 * budget, s
+
+
+def test_mixing_meets_the_entropy(spark):
+    docs = sourced(spark, {"a": 400, "b": 50, "c": 10})
+    for target in (0.5, 0.8, 1.0):
+        rows = mixing.mix(spark, docs, entropy=target).collect()
+        w = {r["source"]: r["weight"] for r in rows}
+        got = -sum(x * math.log(x) for x in w.values())
+        assert got >= target - 1e-3 and (got <= target + 1e-3 or target < 0.51)
+
+
+def test_mixing_small_blocks_change_nothing(spark, monkeypatch):
+    docs = sourced(spark, {"a": 300, "b": 60})
+    count = lambda: sorted((r["doc_id"], r["repeats"]) for r in mixing.mix(spark, docs, repeats=1.5).collect())
+    whole = Counter(n for _, n in count())
+    monkeypatch.setattr(mixing, "ROWS", 16)
+    small = Counter(n for _, n in count())
+    assert abs(whole[2] - small[2]) <= 6
+
+
+def test_mixing_edge_cases(spark):
+    fields = "doc_id long, text string, source string, weight string"
+    rows = [(1, None, "a", ""), (1, "x", "a", ""), (None, "", None, ""), (2, "y z", "b", ""), (2, "y z", "b", "")]
+    got = mixing.mix(spark, spark.createDataFrame(rows, fields)).collect()
+    assert len(got) == 5 and {r["weight"] for r in got if r["source"] is None} == {0.0} and all(r["repeats"] >= 1 for r in got)
+    assert mixing.mix(spark, spark.createDataFrame([], fields)).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix(spark, spark.createDataFrame(rows, fields), repeats=0.5)
+
+
+def test_expand_uses_documents_as_often_as_planned(spark):
+    docs = sourced(spark, {"a": 50, "b": 10})
+    plan = mixing.mix(spark, docs, repeats=2.0).cache()
+    out = mixing.expand(docs, plan)
+    assert out.columns == docs.columns
+    assert Counter(r["doc_id"] for r in out.collect()) == Counter({r["doc_id"]: r["repeats"] for r in plan.collect()})
+
+
+# --- sharding --------------------------------------------------------------------------------
+
+
+def many(spark, n=2000, hot=700):
+    rows = [(k, "the same text" if k < hot else f"text {k} é" if k % 50 else None, "z", k) for k in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string, shard string, rank int")
+
+
+@pytest.mark.parametrize("rows_per_block", [4096, 50])
+def test_shards_are_even_and_slots_gapless(spark, monkeypatch, rows_per_block):
+    monkeypatch.setattr(sharding, "ROWS", rows_per_block)
+    docs = many(spark)
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    got = sharding.assign(spark, docs, 24).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(text)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+        raw = text[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 8, zlib.crc32(raw), "rows", None)
+    assert set(slots) == set(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
+def test_flows_continue_clockwise():
+    owners = [0, 1, 2, 0, 1, 2]
+    demand = {0: 10, 1: 1, 3: 1}
+    out = sharding.flows(demand, owners, 3)
+    assert sum(b - a for _, a, b, _, _ in out) == 12 and all(sum(b - a for _, a, b, s, _ in out if s == k) == 4 for k in range(3))
+    first = [(a, s) for a, start, _, s, _ in out if start == 0]
+    assert (0, 0) in first and (1, 1) in first
+    for arc in demand:
+        parts = sorted((a, b) for x, a, b, _, _ in out if x == arc)
+        assert parts[0][0] == 0 and parts[-1][1] == demand[arc] and all(p[1] == q[0] for p, q in zip(parts, parts[1:], strict=False))
+
+
+def test_limited_movement():
+    """A few more rows move few others: arcs keep their owners while these have room."""
+    r = random.Random(1)
+    points = sharding.ring(24)
+    owners = [s for _, s in points]
+    demand = {a: r.randint(5, 15) for a in range(len(points))}
+    home = lambda d: {(a, k): s for a, x, y, s, _ in sharding.flows(d, owners, 24) for k in range(x, y)}
+    before = home(demand)
+    after = home(demand | {5: demand[5] + 24})
+    moved = sum(after[k] != s for k, s in before.items())
+    assert moved < 0.1 * len(before)
+
+
+def test_sharding_edge_cases(spark):
+    rows = [(1, "a"), (1, "a"), (None, "b"), (2, None)]
+    got = sharding.assign(spark, spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert Counter(r["shard"] for r in got) == {0: 2, 1: 2} and len({(r["shard"], r["slot"]) for r in got}) == 4
+    assert sharding.assign(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    with pytest.raises(ValueError):
+        sharding.assign(spark, spark.createDataFrame(rows, "doc_id long, text string"), 0)
+
+
+# --- licenses --------------------------------------------------------------------------------
+
+
+def _words(text):
+    return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+
+
+def _grams(text):
+    w = _words(text)
+    return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
+
+def test_scan_finds_every_template_in_any_surroundings(spark):
+    r = random.Random(2)
+    filler = lambda n: " ".join(r.choice(("lorem", "ipsum", "dolor", "sit", "amet", "elit")) + str(r.randrange(50)) for _ in range(n))
+    rows, want = [], {}
+    for k, (name, text) in enumerate(licenses.TEMPLATES.items()):
+        for j, before in enumerate((0, 3, 77, 400)):
+            body = text.upper() if j == 1 else re.sub(r"\s+", "\n * ", text) if j == 2 else text
+            rows.append((10 * k + j, f"{filler(before)} {body} {filler(50)}"))
+            want[10 * k + j] = name
+    rows += [(900, filler(3000)), (901, None), (902, ""), (903, "Licensed under")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {(x["doc_id"], x["license"]) for x in got}
+    assert {(d, n) for d, n in want.items()} <= found
+    assert not [x for x in got if x["doc_id"] >= 900]
+    text = dict(rows)
+    for x in got:
+        assert x["containment"] >= licenses.CONTAINMENT
+        span = text[x["doc_id"]].encode()[x["start_byte"] : x["end_byte"]].decode()
+        own = set(_grams(licenses.TEMPLATES[x["license"]]))
+        assert len(own & set(_grams(span))) == pytest.approx(x["containment"] * len(own), abs=1e-3)
+
+
+def test_scan_equals_containment_of_every_window(spark):
+    """Brute force over all stretches of a text that are as long as the template allows."""
+    r = random.Random(5)
+    names = ["MIT", "ISC", "MPL-2.0", "GPL-3.0-line"]
+    few = {n: licenses.TEMPLATES[n] for n in names}
+    rows = []
+    for k in range(80):
+        w = licenses.TEMPLATES[r.choice(names)].split()
+        for _ in range(r.choice((0, 0, 1, 1, 2, 4, 9))):
+            w[r.randrange(len(w))] = "changed"
+        rows.append((k, " ".join(["x"] * r.randrange(30) + w + ["y"] * r.randrange(30))))
+    got = {(x["doc_id"], x["license"]) for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), few).collect()}
+    want = set()
+    for k, t in rows:
+        g = set(_grams(t))
+        for n in names:
+            own = set(_grams(few[n]))
+            if len(own & g) >= licenses.CONTAINMENT * len(own):
+                want.add((k, n))
+    assert got == want
+
+
+def test_scan_rejects_templates_that_are_too_short():
+    with pytest.raises(ValueError):
+        licenses.Templates({"x": "only four words here"})
+
+
+# --- bpe and the pipeline --------------------------------------------------------------------
+
+
+def test_bpe_round_trip_and_edge_cases(spark):
+    texts = [None, "", "plain words", "é 你好 　 tab\t\n", "x" * 20_000]
+    docs = spark.createDataFrame([(k, t, "c") for k, t in enumerate(texts)] + [(None, "plain words", "c")], "doc_id long, text string, ids string")
+    got = bpe.encode_decode(docs, tokenizer_file("byte_bpe_50k.json")).collect()
+    assert {r["doc_id"]: r["decoded"] for r in got} == {k: t or "" for k, t in enumerate(texts)} | {None: "plain words"}
+    assert all(r["n_tokens"] == len(r["ids"]) for r in got)
+    assert bpe.digests(docs.where("false"), tokenizer_file("byte_bpe_50k.json")).count() == 0
+
+
+def test_pipeline_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = docs
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, before, SF)
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == docs.columns, name
+            out.write.parquet(str(tmp_path / name))
+            before, last = spark.read.parquet(str(tmp_path / name)), before
+            if name != "mixing":
+                assert before.join(last, "doc_id", "left_anti").count() == 0 and 0 < before.count() <= last.count()
+        else:
+            assert out.count() == before.count()
+            text = {r["doc_id"]: r["text"] for r in docs.collect()}
+            assert all(r["decoded"] == text[r["doc_id"]] for r in out.collect())
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, repeats int"
+    rows = [(1, None, "en", "a", 0, "", 1), (2, "", None, None, None, None, None), (None, "some words in a text", "en", "b", 3, "x", 2), (3, "some words in a text", "en", "b", 3, "x", 2), (3, "some words in a text", "en", "b", 3, "x", 2)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (3, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
