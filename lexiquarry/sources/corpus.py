@@ -60,7 +60,7 @@ def read_corpus(spark: SparkSession, path: str, flush_tail: bool = False, keep_b
                 columns = zip(*rows, strict=True) if rows else ([], [], [], [])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], ["file", "at", "title", "content"])
 
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     docs = files.mapInArrow(parse, "file string, at long, title string, content string")
     # numbers by file: offsets are summed over files, not over documents
     sizes = docs.groupBy("file").agg(F.count("*").alias("n"))
