@@ -220,6 +220,14 @@ for _kind, (_q, _pats) in _SHOWN.items():
     )
 _add("highlight_removed", lambda s, d: _english(s, d).select("doc_id", display.unmark(display.highlight(F.col("content"), "the", "exact")).alias("content")), f"SELECT doc_id, text AS content FROM documents WHERE {_EN}")
 
+# The SQL of the queries above, and of legacy_tokens, selects texts where DuckDB's ASCII classes agree with Unicode ones.
+# The same over the whole table has no SQL.
+_add("legacy_tokens_all", lambda s, d: analysis.legacy_words(documents(s, d)))
+for _kind, (_q, _) in _SHOWN.items():
+    _add(f"highlight_{_kind}_all", lambda s, d, q=_q, k=_kind: titled(documents(s, d)).select("doc_id", display.highlight(F.col("content"), q, k).alias("content")))
+    _add(f"snippet_{_kind}_all", lambda s, d, q=_q, k=_kind: titled(documents(s, d)).select("doc_id", display.snippet(F.col("content"), F.col("title"), q, k).alias("snippet")))
+_add("highlight_removed_all", lambda s, d: titled(documents(s, d)).select("doc_id", display.unmark(display.highlight(F.col("content"), "the", "exact")).alias("content")))
+
 # --- membership and maintenance -------------------------------------------------------------
 
 
