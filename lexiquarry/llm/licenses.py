@@ -9,7 +9,11 @@ MinHash value, collides with probability above 0.999998. Shorter templates use
 windows of one shingle, where a shared shingle collides for certain.
 
 A candidate is a match if the window holds ``CONTAINMENT`` or more of the
-template's distinct shingles.
+template's distinct shingles. Of templates so alike that either's text matches
+the other, as versions of a license are, the best contained one stands.
+
+Notices of fewer than five words have no shingle; their whole word sequence is
+looked up at every word.
 """
 
 from __future__ import annotations
@@ -43,32 +47,110 @@ TEMPLATES: dict[str, str] = {
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "GPL-2.0-line": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-3.0-line": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0-line": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "MIT-licensed-line": "Licensed under the MIT License.",
+    "CC-BY-4.0-short-line": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0-short-line": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0-short-line": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0-short-line": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0-short-line": "Licensed under CC BY-NC-ND 4.0.",
+    "CC0-1.0-short-line": "Licensed under CC0 1.0.",
+    "CC-BY-ND-4.0-line": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-4.0-long-line": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "Apache-2.0-SPDX": "SPDX-License-Identifier: Apache-2.0",
+    "GPL-2.0-SPDX": "SPDX-License-Identifier: GPL-2.0",
+    "GPL-3.0-SPDX": "SPDX-License-Identifier: GPL-3.0",
+    "LGPL-2.1-SPDX": "SPDX-License-Identifier: LGPL-2.1",
+    "LGPL-3.0-SPDX": "SPDX-License-Identifier: LGPL-3.0",
+    "AGPL-3.0-SPDX": "SPDX-License-Identifier: AGPL-3.0",
+    "MPL-2.0-SPDX": "SPDX-License-Identifier: MPL-2.0",
+    "BSD-2-Clause-SPDX": "SPDX-License-Identifier: BSD-2-Clause",
+    "BSD-3-Clause-SPDX": "SPDX-License-Identifier: BSD-3-Clause",
+    "CC0-1.0-SPDX": "SPDX-License-Identifier: CC0-1.0",
+    "CC-BY-4.0-SPDX": "SPDX-License-Identifier: CC-BY-4.0",
+    "CC-BY-SA-4.0-SPDX": "SPDX-License-Identifier: CC-BY-SA-4.0",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "LGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
+#: Of fewer than ``SHINGLE`` words.
+NOTICES: dict[str, str] = {
+    "All-rights-reserved": "All rights reserved.",
+    "MIT-SPDX": "SPDX-License-Identifier: MIT",
+    "ISC-SPDX": "SPDX-License-Identifier: ISC",
+    "Unlicense-SPDX": "SPDX-License-Identifier: Unlicense",
+}
+
 
-def _shingles(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Shingles in text order, each text's first, and the bytes each begins and ends at."""
+def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words in text order, each text's first, and the bytes each begins and ends at."""
     raw = W.LOWER[raw]
     starts, ends, _ = W.spans(raw, offsets, _KIND)
     ok = _KIND[raw[starts]] == 0
     starts, ends = starts[ok], ends[ok]
-    first = np.searchsorted(starts, offsets)
-    value, at = W.grams(W.hashes(raw, starts, ends), first, SHINGLE, lone=False)
-    pos = np.repeat(first[:-1] - at[:-1], np.diff(at)) + np.arange(at[-1])
-    return value, at, starts[pos], ends[pos + SHINGLE - 1] if len(pos) else ends[:0]
+    return W.hashes(raw, starts, ends), np.searchsorted(starts, offsets), starts, ends
+
+
+def _grams(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n-word shingles in text order, each text's first, and the word each begins at."""
+    value, at = W.grams(words, first, n, lone=False)
+    return value, at, np.repeat(first[:-1] - at[:-1], np.diff(at)) + np.arange(at[-1])
+
+
+def _parts(texts: dict[str, str]) -> tuple[dict[str, str], dict[str, str]]:
+    """Templates with shingles, and notices without."""
+    names = list(texts)
+    _, first, _, _ = _words(*W.texts(pa.array([texts[n] for n in names], pa.large_string())))
+    long = np.diff(first) >= SHINGLE
+    return {n: texts[n] for n, x in zip(names, long, strict=True) if x}, {n: texts[n] for n, x in zip(names, long, strict=True) if not x}
+
+
+class Notices:
+    """Word sequences shorter than a shingle, found where they stand whole."""
+
+    def __init__(self, texts: dict[str, str]):
+        self.names = list(texts)
+        words, first, _, _ = _words(*W.texts(pa.array([texts[n] for n in self.names], pa.large_string())))
+        sizes = np.diff(first)
+        if len(sizes) and not sizes.min():
+            raise ValueError(f"notices without words: {[n for n, k in zip(self.names, sizes, strict=True) if not k]}")
+        # by size: hashes and whose they are
+        self.of: dict[int, list[tuple[np.uint64, int]]] = {}
+        for i, n in enumerate(sizes.tolist()):
+            value, _, _ = _grams(words[first[i] : first[i + 1]], np.array([0, n]), n)
+            self.of.setdefault(n, []).append((value[0], i))
+
+    def find(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text, notice, first word, last word)."""
+        found = []
+        for n, wanted in self.of.items():
+            value, at, pos = _grams(words, first, n)
+            for h, i in wanted:
+                hits = np.flatnonzero(value == h)
+                docs = np.searchsorted(at, hits, side="right") - 1
+                found += [(d, i, p, p + n - 1) for d, p in zip(docs.tolist(), pos[hits].tolist(), strict=True)]
+        return found
 
 
 class Templates:
     def __init__(self, texts: dict[str, str]):
         self.names = list(texts)
         column = pa.array([texts[n] for n in self.names], pa.large_string())
-        raw, offsets = W.texts(column)
-        value, at, _, _ = _shingles(raw, offsets)
+        words, first, _, _ = _words(*W.texts(column))
+        value, at, _ = _grams(words, first, SHINGLE)
         self.sets = [np.unique(value[at[i] : at[i + 1]]) for i in range(len(self.names))]
         empty = [n for n, s in zip(self.names, self.sets, strict=True) if not len(s)]
         if empty:
             raise ValueError(f"templates of fewer than {SHINGLE} words: {empty}")
+        alike = lambda a, b: len(np.intersect1d(a, b)) >= CONTAINMENT * max(len(a), len(b))
+        self.alike = {i: {j for j, b in enumerate(self.sets) if j != i and alike(a, b)} for i, a in enumerate(self.sets)}
         self.short = [i for i, s in enumerate(self.sets) if len(s) < SHORT]
         self.classes: dict[int, list[int]] = {}
         for i, s in enumerate(self.sets):
@@ -116,7 +198,20 @@ class Templates:
                 out[-1] = (d, i, out[-1][2], max(b, out[-1][3]))
             else:
                 out.append((d, i, a, b))
-        return [(d, i, a, b, round(len(np.intersect1d(value[a : b + 1], self.sets[i])) / len(self.sets[i]), 6)) for d, i, a, b in out]
+        return self._best([(d, i, a, b, round(len(np.intersect1d(value[a : b + 1], self.sets[i])) / len(self.sets[i]), 6)) for d, i, a, b in out])
+
+    def _best(self, found: list[tuple[int, int, int, int, float]]) -> list[tuple[int, int, int, int, float]]:
+        """Without the finds whose place a template much alike explains better; adjoining finds that were joined all stand."""
+        by_doc: dict[int, list[tuple[int, int, int, int, float]]] = {}
+        for x in found:
+            by_doc.setdefault(x[0], []).append(x)
+
+        def beaten(d: int, i: int, a: int, b: int, share: float) -> bool:
+            if b - a + 1 > 1.5 * len(self.sets[i]):
+                return False
+            return any(j in self.alike[i] and more > share and 2 * (min(b, f) - max(a, e) + 1) > b - a + 1 for _, j, e, f, more in by_doc[d])
+
+        return [x for x in found if not (self.alike[x[1]] and beaten(*x))]
 
     def _long(self, value: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
         found = []
@@ -156,18 +251,23 @@ class Templates:
 
 def _run(texts: dict[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates = Templates(texts)
+        long, short = _parts(texts)
+        templates = Templates(long) if long else None
+        notices = Notices(short)
         for batch in batches:
             raw, offsets = W.texts(batch.column(1))
             for a, b in W.chunks(offsets):
-                value, at, begin, end = _shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                rows = templates.find(value, at)
+                words, first, begin, end = _words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                rows = [(d, notices.names[i], p, q, 1.0) for d, i, p, q in notices.find(words, first)]
+                if templates is not None:
+                    value, at, pos = _grams(words, first, SHINGLE)
+                    rows += [(d, templates.names[i], pos[p], pos[q] + SHINGLE - 1, share) for d, i, p, q, share in templates.find(value, at)]
                 docs = np.array([r[0] for r in rows], np.int64)
                 shift = (offsets[a : b + 1] - offsets[a])[docs] if len(rows) else docs
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a).take(pa.array(docs)),
-                        pa.array([templates.names[r[1]] for r in rows], pa.string()),
+                        pa.array([r[1] for r in rows], pa.string()),
                         pa.array(begin[[r[2] for r in rows]] - shift if rows else docs),
                         pa.array(end[[r[3] for r in rows]] - shift if rows else docs),
                         pa.array([r[4] for r in rows], pa.float64()),
@@ -181,11 +281,13 @@ def _run(texts: dict[str, str]):
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """One row per match: doc_id, license, start_byte, end_byte (in the text's UTF-8) and containment.
 
-    ``templates``: name -> text of five words or more; the built-in notices if
-    none are given. They are held by every task, and are as few as licenses
-    are. Null, empty and short texts match nothing. Repeated rows match alike;
-    null ids are returned as they come; other columns are ignored; an empty
-    table gives an empty result.
+    ``templates``: name -> text of one word or more; the built-in notices if
+    none are given. Those of fewer than five words match whole or not at all.
+    They are held by every task, and are as few as licenses are. A text that
+    holds two templates, one within the other, gets a row for each. Null, empty
+    and short texts match nothing that they do not hold. Repeated rows match
+    alike; null ids are returned as they come; other columns are ignored; an
+    empty table gives an empty result.
     """
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
-    return rows.mapInArrow(_run(TEMPLATES if templates is None else templates), "doc_id long, license string, start_byte long, end_byte long, containment double")
+    return rows.mapInArrow(_run(TEMPLATES | NOTICES if templates is None else templates), "doc_id long, license string, start_byte long, end_byte long, containment double")

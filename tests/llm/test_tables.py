@@ -203,6 +203,23 @@ def test_scan_rejects_templates_that_are_too_short():
         licenses.Templates({"x": "only four words here"})
 
 
+def test_scan_finds_notices_of_few_words(spark):
+    line = "All rights reserved."
+    rows = [(1, line), (2, f"é one two\n{line}\nall rights\nALL RIGHTS -- RESERVED"), (3, "all rights are reserved"), (4, "all rights"), (5, "reserved"), (6, "// SPDX-License-Identifier: MIT"), (None, line)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = licenses.scan(docs).collect()
+    assert Counter((x["doc_id"], x["license"]) for x in got) == {(1, "All-rights-reserved"): 1, (2, "All-rights-reserved"): 2, (6, "MIT-SPDX"): 1, (None, "All-rights-reserved"): 1}
+    spans = [dict(rows)[x["doc_id"]].encode()[x["start_byte"] : x["end_byte"]].decode() for x in got if x["doc_id"] == 2]
+    assert sorted(spans) == ["ALL RIGHTS -- RESERVED", "All rights reserved"]
+    assert licenses.scan(docs, {"one": "Reserved"}).count() == 6
+
+
+def test_scan_tells_versions_of_a_license_apart(spark):
+    names = [n for n in licenses.TEMPLATES if "GPL" in n]
+    got = licenses.scan(spark.createDataFrame([(k, "x y " + licenses.TEMPLATES[n] + " z") for k, n in enumerate(names)], "doc_id long, text string")).collect()
+    assert {(x["doc_id"], x["license"]) for x in got} == set(enumerate(names))
+
+
 # --- bpe and the pipeline --------------------------------------------------------------------
 
 
