@@ -1,14 +1,16 @@
 """Toxicity by noisy-channel deobfuscation.
 
 1. A character trigram model is counted over all texts.
-2. Passages that may hide a word - leetspeak inside a word, letters set apart
-   by blanks or marks, letters repeated three times or more - become character
-   lattices whose arcs keep, replace or drop a character at a channel cost. A
-   Viterbi search finds the likeliest reading under channel and model.
+2. Passages that may hide a word - words with leetspeak, an inner mark or a
+   doubled letter, and runs of short words - become character lattices whose
+   arcs keep, replace or drop a character at a channel cost. A Viterbi search
+   finds the likeliest reading under channel and model.
 3. A text's words and the words restored from it are scored by logistic
    regression over hashed words and word beginnings.
 
-Every other passage has a lattice with a single path, so it is read as it is.
+Every other word has a lattice with a single path, so it is read as it is.
+Blanks are in a lattice only between words of at most ``FRAGMENT`` letters and
+digits, so a word parted into a longer piece and another is not rejoined.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ PARAMS = ftrl.Params(bits=18, alpha=1.0, l1=3.0, epochs=8)
 #: Labelled rows to learn from, at most.
 SAMPLE = 6000
 BEGINNINGS = (5, 6, 7)
+#: Letters and digits of a short word, at most, and its characters.
+FRAGMENT, FRAGMENT_CHARS = 3, 5
 
 _LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
-_MARKS = " .-_*\t\n\r\x0b\x0c"
+_ANY = "abcdefghijklmnopqrstuvwxyz"
 _SYMBOLS = 28  # 0: a boundary, 1 to 26: a to z, 27: other letters
 _CLASS = np.zeros(256, np.int64)
 _CLASS[97:123] = np.arange(1, 27)
@@ -38,8 +42,13 @@ _KIND[48:58] = 1
 _LETTER = _KIND == 0
 _IS_LEET = np.zeros(256, bool)
 _IS_LEET[[ord(c) for c in _LEET]] = True
-_IS_MARK = np.zeros(256, bool)
-_IS_MARK[[ord(c) for c in ".-_*"]] = True
+# a mark, or the first byte of a character that may be one; C3 to CA begin Latin letters, and two signs
+_IS_MARK = _KIND == 2
+_IS_MARK[0xC2] = True
+_IS_MARK[0xCB:] = True
+_IS_CHAR = np.ones(256, bool)
+_IS_CHAR[0x80:0xC0] = False
+
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,30 +92,35 @@ def _arcs(text: str, k: int) -> list[tuple[str, float]]:
         return out
     inner = 0 < k < len(text) - 1
     if c in _LEET:
-        return [(x, 0.5) for x in _LEET[c]] + [(" ", 5.0)] + ([("", 7.0)] if inner else [])
-    if c in _MARKS and inner:
-        return [("", 0.3), (" ", 1.0)]
+        ends = c == "!" and (k + 1 == len(text) or text[k + 1].isspace())
+        return [(x, 0.5) for x in _LEET[c]] + [(" ", 1.0 if ends else 5.0)] + ([("", 7.0)] if inner else [])
+    if inner and not c.isalnum():
+        out = [("", 0.3), (" ", 1.0)]
+        if c == "*" and text[k - 1].isalpha() and text[k + 1].isalpha():
+            out += [(x, 3.0) for x in _ANY]  # may stand for any letter
+        return out
     return [(" ", 0.2)]
 
 
-def decode(text: str, cost: np.ndarray) -> str:
-    """The likeliest reading of a lower-case passage; words are split by single blanks."""
+def decode(text: str, cost: np.ndarray | list[float]) -> str:
+    """The likeliest reading of a lower-case passage; words are split by single blanks. ``cost``: as an array, or its items in a list."""
+    if not isinstance(cost, list):
+        cost = cost.ravel().tolist()
     code = lambda c: 0 if c == " " else ord(c) - 96 if "a" <= c <= "z" else 27
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for k in range(len(text)):
         after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-        arcs = _arcs(text, k)
+        arcs = [(c, channel, code(c) if c else 0) for c, channel in _arcs(text, k)]
         for (a, b), (total, path) in states.items():
-            for c, channel in arcs:
+            for c, channel, x in arcs:
                 if c == "" or (c == " " and b == 0):
                     key, value, new = (a, b), total + channel, path
                 else:
-                    x = code(c)
-                    key, value, new = (b, x), total + channel + float(cost[a, b, x]), (path, c)
+                    key, value, new = (b, x), total + channel + cost[(a * _SYMBOLS + b) * _SYMBOLS + x], (path, c)
                 if key not in after or value < after[key][0]:
                     after[key] = (value, new)
         states = after
-    _, path = min(((v + float(cost[a, b, 0]), p) for (a, b), (v, p) in states.items()), key=lambda x: x[0])
+    _, path = min(((v + cost[(a * _SYMBOLS + b) * _SYMBOLS], p) for (a, b), (v, p) in states.items()), key=lambda x: x[0])
     out = []
     while path:
         path, c = path
@@ -121,30 +135,35 @@ def passages(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if not n:
         return none, none, none
     starts, ends, first = W.spans(raw, offsets)
-    letter = _LETTER[raw]
-    hit = np.zeros(n, bool)
-    hit[:-1] |= _IS_LEET[raw[:-1]] & letter[1:]
-    if n > 2:
-        hit[:-2] |= letter[:-2] & (raw[2:] == raw[:-2]) & (raw[1:-1] == raw[:-2]) & (raw[:-2] < 128)
-    if n > 4:
-        mark = _IS_MARK[raw]
-        hit[:-4] |= letter[:-4] & mark[1:-3] & letter[2:-2] & mark[3:-1] & letter[4:]
-    at = np.flatnonzero(hit)
-    word = np.unique(np.searchsorted(starts, at, side="right") - 1)
+    if not len(starts):
+        return none, none, none
+    letter, char = _LETTER[raw], _IS_CHAR[raw]
+    inner = _IS_MARK[raw] & ~W.SPACE[raw]
+    inner[starts] = inner[ends - 1] = False
+    hit = _IS_LEET[raw] | inner
+    hit[:-1] |= (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))
+    for k in range(1, min(4, n // 2) + 1):  # a letter of k bytes, twice
+        same = raw[:-k] == raw[k:]
+        twice = same[: n - 2 * k + 1].copy()
+        for m in range(1, k):
+            twice &= same[m : n - 2 * k + 1 + m]
+        hit[: len(twice)] |= twice & letter[: len(twice)] & char[: len(twice)]
     # a match that begins in a text's last bytes can run into the next text; a lattice of that word alone is harmless
+    word = np.unique(np.searchsorted(starts, np.flatnonzero(hit), side="right") - 1)
+    # blanks before a text's first word belong to no word
+    word = word[word >= 0]
     doc = np.searchsorted(first, word, side="right") - 1
-    single = (ends - starts == 1) & (letter[starts] | _IS_LEET[raw[starts]]) if len(starts) else np.zeros(0, bool)
+    count = lambda what: (c := np.concatenate(([0], np.cumsum(what))))[ends] - c[starts]
+    size = count((letter & char) | (raw >= 48) & (raw < 58))
+    short = (size <= FRAGMENT) & (count(char) <= FRAGMENT_CHARS) & (count(letter | _IS_LEET[raw]) > 0)
     edge = np.zeros(len(starts) + 1, bool)
-    edge[first[first < len(starts) + 1]] = True
-    begin = np.flatnonzero(single & (np.concatenate(([True], ~single[:-1])) | edge[:-1])) if len(starts) else none
-    if len(begin):
-        stop_here = np.concatenate((~single[1:], [True])) | edge[1:]
-        end = np.flatnonzero(single & stop_here)
-        long = end - begin >= 2
-        begin, end = begin[long], end[long]
-        doc = np.concatenate((doc, np.searchsorted(first, begin, side="right") - 1))
-        return doc, np.concatenate((starts[word], starts[begin])), np.concatenate((ends[word], ends[end]))
-    return doc, starts[word], ends[word]
+    edge[first] = True
+    begin = np.flatnonzero(short & (np.concatenate(([True], ~short[:-1])) | edge[:-1]))
+    end = np.flatnonzero(short & (np.concatenate((~short[1:], [True])) | edge[1:]))
+    run = end > begin
+    begin, end = begin[run], end[run]
+    doc = np.concatenate((doc, np.searchsorted(first, begin, side="right") - 1))
+    return doc, np.concatenate((starts[word], starts[begin])), np.concatenate((ends[word], ends[end]))
 
 
 class Features:
@@ -152,17 +171,19 @@ class Features:
 
     def __init__(self, cost: np.ndarray):
         self.cost = cost.astype(np.float32)
+        self.items: list[float] = []
         self.read: dict[bytes, bytes] = {}
 
     def __getstate__(self):
-        return {"cost": self.cost, "read": {}}
+        return {"cost": self.cost, "items": [], "read": {}}
 
     def restored(self, piece: bytes) -> bytes:
         out = self.read.get(piece)
         if out is None:
             if len(self.read) > 200_000:
                 self.read.clear()
-            out = self.read[piece] = decode(piece.decode("utf-8", "replace"), self.cost).encode()
+            self.items = self.items or self.cost.ravel().tolist()
+            out = self.read[piece] = decode(piece.decode("utf-8", "replace"), self.items).encode()
         return out
 
     def _words(self, raw, offsets):
@@ -184,6 +205,9 @@ class Features:
         value, doc = self._hashed(raw, *self._words(raw, offsets))
         where, begin, end = passages(raw, offsets)
         if len(where):
+            # each passage once a text
+            _, one = np.unique(W.mix(W.hashes(raw, begin, end) + W.mix(where.astype(np.uint64))), return_index=True)
+            where, begin, end = where[one], begin[one], end[one]
             pieces = [self.restored(raw[a:b].tobytes()) for a, b in zip(begin, end, strict=True)]
             cut = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))
             more = np.frombuffer(b"".join(pieces), np.uint8)

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +136,25 @@ def test_viterbi_finds_the_best_of_all_readings(cost):
         assert min(among) == pytest.approx(best), text
 
 
+HIDDEN = {
+    "idiot": ["idio7", "1d10t", "i d i o t", "idi ot", "iddiioott", "i/d/i/o/t", "id!ot"],
+    "stupid": ["stu.pid", "st*pid", "stu pid", "st up id", "ssttuuppiidd", "s,t,u,p,i,d", "s/t/u/p/i/d", "stu\u00b7pid", "stu\u2019pid", "s7upid"],
+    "ass": ["a$$"],
+}
+
+
+@pytest.mark.parametrize(("word", "seen"), [(w, s) for w, of in HIDDEN.items() for s in of])
+def test_hidden_words_become_features(word, seen):
+    n = np.zeros((28, 28, 28))
+    for w in ["idiot", "stupid", "ass"] * 50:
+        c = [0, 0, *(ord(x) - 96 for x in w), 0]
+        for i in range(len(c) - 2):
+            n[c[i], c[i + 1], c[i + 2]] += 1
+    features = toxicity.Features(toxicity.costs(n))
+    buckets = lambda t: set(features(*W.texts(pa.array(["", t, " "])))[1].tolist())
+    assert buckets(word) <= buckets(seen), features.read
+
+
 def test_language_model_counts_every_text(spark):
     docs = spark.createDataFrame([("ab",), ("aB c",), (None,), ("",)], "text string")
     n = np.zeros((28, 28, 28))
