@@ -197,8 +197,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 2, perc
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.keep(docs.mapInArrow(_signed(shingle), "doc_id long, n_shingles long, d1 long, d2 long, sig binary"))
+    # a representative is a set, not a doc_id, which several sets may share
     reps = scratch.keep(
-        signed.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+        signed.where("n_shingles > 0 and doc_id is not null")
+        .groupBy("d1", "d2", "n_shingles")
+        .agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"))
+        .withColumn("rep", F.xxhash64("d1", "d2", "n_shingles"))
     )
     keys = reps.select("rep", "sig").mapInArrow(_keyed, "key long, rep long")
     met = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
@@ -209,10 +213,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 2, perc
     scratch.drop(members)
     pairs = scratch.keep(led.select("rep", "leader").distinct())
 
-    ids = pairs.select(F.col("rep").alias("id")).union(pairs.select(F.col("leader").alias("id"))).distinct()
+    paired = pairs.select("rep").union(pairs.select(F.col("leader").alias("rep"))).distinct()
+    wanted = scratch.keep(reps.join(paired, "rep", "left_semi").select("rep", "id", "d1", "d2"))
+    ids = wanted.select("id").distinct()
     needed = docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
     sets = needed.mapInArrow(_with_sets(shingle), "id long, d1 long, d2 long, shingles binary")
-    sets = scratch.keep(sets.join(reps.select(F.col("rep").alias("id"), "d1", "d2"), ["id", "d1", "d2"], "left_semi").dropDuplicates(["id"]).select("id", "shingles"))
+    sets = scratch.keep(sets.join(wanted, ["id", "d1", "d2"]).dropDuplicates(["rep"]).select(F.col("rep").alias("id"), "shingles"))
     right = sets.select(F.col("id").alias("leader"), F.col("shingles").alias("other"))
     links = scratch.keep(
         pairs.join(sets.withColumnRenamed("id", "rep").hint("merge"), "rep").join(right.hint("merge"), "leader").select("rep", "leader", "shingles", "other").mapInArrow(_linked(percent), "rep long, leader long")
@@ -236,9 +242,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 2, perc
     tasks = first.unionByName(second).join(sets.withColumnRenamed("id", "rep").hint("merge"), "rep")
     more = tasks.groupBy("grp", "i", "j").applyInArrow(_block_links(percent), "u long, v long")
     final = components(scratch, links.unionByName(scratch.keep(more)))
-    scratch.drop(sets, led, pairs, loose)
+    scratch.drop(sets, led, pairs, loose, wanted)
 
-    classes = reps.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("cls"))
+    of = reps.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "n_shingles", "id", F.coalesce("component", "rep").alias("component"))
+    least = of.groupBy("component").agg(F.min("id").alias("cls"))
+    classes = of.join(least, "component").select("d1", "d2", "n_shingles", "cls")
     out = signed.drop("sig").join(classes, ["d1", "d2", "n_shingles"], "left")
     comp = F.when(F.col("n_shingles") > 0, F.col("cls")).otherwise(F.col("doc_id"))
     comp = F.when(F.col("doc_id").isNotNull(), comp)

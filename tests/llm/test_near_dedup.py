@@ -96,6 +96,15 @@ def test_minhash_similarity_at_the_threshold_counts(spark):
     assert got == {1: 1, 2: 2}
 
 
+def test_minhash_texts_that_share_a_doc_id_link_on_their_own(spark):
+    r = random.Random(8)
+    texts = [[f"{c}{k}" for k in range(60)] for c in "abcdef"]
+    near = lambda w: " ".join([*w[:-1], f"z{r.randrange(100)}"])
+    rows = [(1, " ".join(w)) for w in texts] + [(10 + k, near(w)) for k, w in enumerate(texts)] + [(30, "alone " * 3)]
+    got = minhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    assert sorted((x["doc_id"], x["component_id"]) for x in got) == [(1, 1)] * 6 + [(10 + k, 1) for k in range(6)] + [(30, 30)]
+
+
 def test_minhash_loose_copies_of_one_text(spark):
     """Near copies of one base that are not all near its leader still become one class where links join them."""
     r = random.Random(4)
