@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder only where it is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a temporary folder of this machine serves a local
+    session, whose executors run here; a cluster's executors would not see it.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"{tempfile.gettempdir()}/lexiquarry-shared"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -24,7 +31,6 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/lexiquarry-{uuid.uuid4().hex}"
         self._n = 0
-        self._paths: dict[int, str] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write ``df`` as Parquet and read it back."""
@@ -32,14 +38,15 @@ class Scratch:
         path = f"{self.root}/{self._n:04d}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
         out._scratch_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that nothing reads any more."""
+        """Delete tables that nothing reads any more; those that are no written tables are passed over."""
         jvm = self.spark._jvm
         conf = self.spark._jsc.hadoopConfiguration()
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+            path = getattr(t, "_scratch_path", None)
+            if path is not None:
+                path = jvm.org.apache.hadoop.fs.Path(path)
+                path.getFileSystem(conf).delete(path, True)
