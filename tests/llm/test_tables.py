@@ -1,5 +1,7 @@
 """Mixing, sharding, license scans and the pipeline against brute force."""
 
+import hashlib
+import itertools
 import math
 import random
 import re
@@ -7,6 +9,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexiquarry.llm import bpe, licenses, mixing, sharding
@@ -25,27 +29,91 @@ def sourced(spark, sizes, seed=1):
     return spark.createDataFrame(rows, "doc_id long, text string, source string, block string")
 
 
-@pytest.mark.parametrize("limit", [1.0, 1.5, 2.0, 4.0])
+def mixed(rows, limit, size, budget=None):
+    """Brute force: (doc_id, text, source) -> counted uses (doc_id, source, n_tokens, weight, pass, block, position)."""
+    number = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:13], 16)
+    tokens = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    by = defaultdict(list)
+    for d, t, s in rows:
+        by[s].append((d, tokens(t), f"{'' if d is None else d}:{s or ''}:{t or ''}"))
+    total = sum(n for of in by.values() for _, n, _ in of)
+    share = {s: sum(n for _, n, _ in of) / max(total, 1) for s, of in by.items()}
+    real = [p for p in share.values() if p]
+    low, high = 0.0, 1.0
+    for _ in range(50):
+        mid = (low + high) / 2
+        low, high = (low, mid) if not real or (max(real) / min(real)) ** (1 - mid) <= limit else (mid, high)
+    z = sum(p**high for p in real)
+    out = Counter()
+    for s, of in by.items():
+        p, t = share[s], sum(n for _, n, _ in of)
+        weight = p**high / z if p else 0.0
+        r = 1.0 if not p else (max(real) / p) ** (1 - high) if budget is None else budget * weight / t
+        blocks, position = -(-len(of) // size), 0
+        for k in range(math.floor(r) + (r > math.floor(r))):
+            placed = []
+            for d, n, name in of:
+                u = hashlib.md5(name.encode()).hexdigest()
+                block = math.floor(int(u[:13], 16) / 2**52 * blocks)
+                turn = hashlib.md5(f"{k}:{block}:{'' if s is None else '=' + s}".encode()).hexdigest()
+                placed.append((turn, block, number(f"{u}:{k}"), u, d, n))
+            start, groups = 0, [list(g) for _, g in itertools.groupby(sorted(placed, key=lambda x: x[:4]), key=lambda x: x[3])]
+            for g in groups:
+                if k < math.floor(r) or start < (r - math.floor(r)) * t:
+                    for _, block, _, _, d, n in g:
+                        out[(d, s, n, round(weight, 6), k, block, position)] += 1
+                        position += 1
+                start += sum(x[5] for x in g)
+    return out
+
+
+@pytest.mark.parametrize(("limit", "size", "budget"), [(1.0, 4096, None), (2.0, 16, None), (2.0, 4096, 700), (4.0, 16, 5000)])
+def test_mixing_equals_brute_force(spark, monkeypatch, limit, size, budget):
+    monkeypatch.setattr(mixing, "ROWS", size)
+    docs = sourced(spark, {"a": 150, "b": 60, "": 7, None: 20})
+    again = docs.where("doc_id % 17 = 3").withColumn("block", F.lit("other"))
+    docs = docs.union(again).union(again).withColumn("doc_id", F.expr("if(doc_id % 10 = 4, null, if(doc_id % 10 = 5, 5, doc_id))"))
+    want = mixed([(r["doc_id"], r["text"], r["source"]) for r in docs.collect()], limit, size, budget)
+    got = mixing.mix(spark, docs, repeats=limit, budget=budget)
+    assert Counter(map(tuple, got.collect())) == want
+    uses = Counter()
+    for (d, s, n, *_), k in want.items():
+        uses[(d, s, n)] += k
+    out = mixing.expand(spark, docs, repeats=limit, budget=budget)
+    assert out.columns == docs.columns
+    assert Counter((r["doc_id"], r["source"], len((r["text"] or "").split())) for r in out.collect()) == uses
+
+
+@pytest.mark.parametrize("limit", [1.5, 4.0])
 def test_mixing_meets_the_repetition_limit(spark, limit):
     docs = sourced(spark, {"a": 300, "b": 60, "c": 7, None: 20})
+    size = {r["doc_id"]: (r["source"], len(r["text"].split())) for r in docs.collect()}
     rows = mixing.mix(spark, docs, repeats=limit).collect()
-    assert Counter(r["doc_id"] for r in rows) == Counter(range(387))
-    share = defaultdict(int)
-    used = defaultdict(int)
+    assert {r["doc_id"] for r in rows} == set(range(387))
+    share, used = defaultdict(int), defaultdict(int)
+    for s, n in size.values():
+        share[s] += n
     for r in rows:
-        share[r["source"]] += r["n_tokens"]
-        used[r["source"]] += r["n_tokens"] * r["repeats"]
-        assert r["repeats"] >= 1 and r["repeats"] <= math.ceil(limit)
+        used[r["source"]] += r["n_tokens"]
+        assert r["pass"] < math.ceil(limit)
     weight = {r["source"]: r["weight"] for r in rows}
     assert sum(weight.values()) == pytest.approx(1, abs=1e-5)
-    # the exponent: weights are powers of shares
     total = sum(share.values())
-    a = [math.log(weight[s] / weight["a"]) / math.log(share[s] / share["a"]) for s in ("b", "c", None)]
-    assert max(a) - min(a) < 1e-3
     assert max((weight[s] / (share[s] / total)) / (weight["a"] / (share["a"] / total)) for s in share) <= limit + 1e-3
     budget = share["a"] / weight["a"]
     for s in share:
         assert abs(used[s] - budget * weight[s]) <= 9 + 1e-3 * budget, s
+        places = sorted(r["position"] for r in rows if r["source"] == s)
+        assert places == list(range(len(places)))
+
+
+def test_mixing_orders_each_pass_anew(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS", 8)
+    rows = mixing.mix(spark, sourced(spark, {"a": 300, "b": 64}), repeats=3.0).collect()
+    order = lambda k: [r["doc_id"] for r in sorted(rows, key=lambda r: r["position"]) if r["source"] == "b" and r["pass"] == k]
+    assert sorted(order(0)) == sorted(order(1)) and order(0) != order(1)
+    blocks = [k for k, _ in itertools.groupby(r["block"] for r in sorted(rows, key=lambda r: r["position"]) if r["source"] == "b" and r["pass"] == 0)]
+    assert len(blocks) == len(set(blocks)) and blocks != sorted(blocks)
 
 
 def test_mixing_meets_the_entropy(spark):
@@ -57,33 +125,18 @@ def test_mixing_meets_the_entropy(spark):
         assert got >= target - 1e-3 and (got <= target + 1e-3 or target < 0.51)
 
 
-def test_mixing_small_blocks_change_nothing(spark, monkeypatch):
-    docs = sourced(spark, {"a": 300, "b": 60})
-    count = lambda: sorted((r["doc_id"], r["repeats"]) for r in mixing.mix(spark, docs, repeats=1.5).collect())
-    whole = Counter(n for _, n in count())
-    monkeypatch.setattr(mixing, "ROWS", 16)
-    small = Counter(n for _, n in count())
-    assert abs(whole[2] - small[2]) <= 6
-
-
 def test_mixing_edge_cases(spark):
     fields = "doc_id long, text string, source string, weight string"
     rows = [(1, None, "a", ""), (1, "x", "a", ""), (None, "", None, ""), (2, "y z", "b", ""), (2, "y z", "b", "")]
     got = mixing.mix(spark, spark.createDataFrame(rows, fields)).collect()
-    assert len(got) == 5 and {r["weight"] for r in got if r["source"] is None} == {0.0} and all(r["repeats"] >= 1 for r in got)
-    assert mixing.mix(spark, spark.createDataFrame([], fields)).count() == 0
+    assert Counter((r["doc_id"], r["source"], r["n_tokens"]) for r in got if not r["pass"]) == {(1, "a", 0): 1, (1, "a", 1): 1, (None, None, 0): 1, (2, "b", 2): 2}
+    assert {r["weight"] for r in got if r["source"] is None} == {0.0}
+    assert mixing.mix(spark, spark.createDataFrame([], fields)).count() == 0 and mixing.expand(spark, spark.createDataFrame([], fields)).count() == 0
+    assert mixing.mix(spark, spark.createDataFrame(rows, fields), budget=0).where("n_tokens > 0").count() == 0
     with pytest.raises(ValueError):
         mixing.mix(spark, spark.createDataFrame(rows, fields), repeats=0.5)
 
 
-def test_expand_uses_documents_as_often_as_planned(spark):
-    docs = sourced(spark, {"a": 50, "b": 10})
-    plan = mixing.mix(spark, docs, repeats=2.0).cache()
-    out = mixing.expand(docs, plan)
-    assert out.columns == docs.columns
-    assert Counter(r["doc_id"] for r in out.collect()) == Counter({r["doc_id"]: r["repeats"] for r in plan.collect()})
-
-
 # --- sharding --------------------------------------------------------------------------------
 
 
@@ -108,6 +161,43 @@ def test_shards_are_even_and_slots_gapless(spark, monkeypatch, rows_per_block):
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
 
 
+def xx(value, seed=42):
+    raw = value if isinstance(value, bytes) else (value & (2**64 - 1)).to_bytes(8, "little")
+    return xxhash.xxh64_intdigest(raw, seed)
+
+
+def test_shards_equal_brute_force(spark, monkeypatch):
+    """Each row's shard and slot, with hot texts, repeated rows, repeated and missing ids."""
+    monkeypatch.setattr(sharding, "ROWS", 40)
+    rows = [(k, "the same text" if k < 300 else None if k % 9 == 0 else f"text {k % 200} é") for k in range(900)]
+    rows += [(None, f"no id {k}") for k in range(90)] + [(7, f"of seven {k}") for k in range(90)] + [(5, "often")] * 130
+    points = sharding.ring(24)
+    starts, by = [p for p, _ in points], defaultdict(list)
+    for d, t in rows:
+        place = xx((t or "").encode()) % 2**32
+        by[max((i for i, p in enumerate(starts) if p <= place), default=len(starts) - 1)].append((d, t or ""))
+    want = Counter()
+    flow = sharding.flows({a: len(of) for a, of in by.items()}, [s for _, s in points], 24)
+    for arc, of in by.items():
+        parts, line = -(-len(of) // 40), []
+        for (d, t), n in Counter(of).items():
+            crc, size = zlib.crc32(t.encode()), len(t.encode()) + 8
+            for piece in range(-(-n // 40)):
+                h = 42
+                for v in (d, crc, size, piece):
+                    h = h if v is None else xx(v, h)
+                signed = h - 2**64 if h >= 2**63 else h
+                line.append((signed % parts, signed, min(40, n - piece * 40), (d, size, crc)))
+        rank = 0
+        for _, _, n, row in sorted(line, key=lambda x: x[:2]):
+            for r in range(rank, rank + n):
+                [(shard, slot)] = [(s, first + r - lo) for a, lo, hi, s, first in flow if a == arc and lo <= r < hi]
+                want[(*row, "rows", shard, slot, None)] += 1
+            rank += n
+    got = sharding.assign(spark, spark.createDataFrame(rows, "doc_id long, text string"), 24).collect()
+    assert Counter(map(tuple, got)) == want
+
+
 def test_flows_continue_clockwise():
     owners = [0, 1, 2, 0, 1, 2]
     demand = {0: 10, 1: 1, 3: 1}
@@ -232,6 +322,21 @@ def test_bpe_round_trip_and_edge_cases(spark):
     assert bpe.digests(docs.where("false"), tokenizer_file("byte_bpe_50k.json")).count() == 0
 
 
+def test_digests_equal_those_of_the_library(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    r = random.Random(6)
+    texts = [None, "", "a\n\n b", "\x1c \x85x", "中文" * 300, "y" * 5000, *("".join(r.choice("ab c\n  .,'sé9") for _ in range(80)) for _ in range(40))]
+    docs = spark.createDataFrame([(k % 30, t, "z") for k, t in enumerate(texts)] + [(None, "again", "z")] * 2, "doc_id long, text string, n_tokens string")
+    theirs = tokenizers.Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    theirs.no_truncation(), theirs.no_padding()
+    want = Counter()
+    for d, t, _ in docs.collect():
+        ids = theirs.encode(t or "", add_special_tokens=False).ids
+        raw = b"".join(i.to_bytes(4, "little") for i in ids)
+        want[(d, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(theirs.decode(ids, skip_special_tokens=False).encode()).hexdigest())] += 1
+    assert Counter(map(tuple, bpe.digests(docs, tokenizer_file("byte_bpe_50k.json")).collect())) == want
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = docs
@@ -249,11 +354,39 @@ def test_pipeline_stages(spark, tmp_path):
             assert all(r["decoded"] == text[r["doc_id"]] for r in out.collect())
 
 
+def table(spark, folder, name, rows, schema):
+    spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(str(folder / f"{name}.parquet"))
+
+
 def test_pipeline_on_odd_rows(spark, tmp_path):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, repeats int"
-    rows = [(1, None, "en", "a", 0, "", 1), (2, "", None, None, None, None, None), (None, "some words in a text", "en", "b", 3, "x", 2), (3, "some words in a text", "en", "b", 3, "x", 2), (3, "some words in a text", "en", "b", 3, "x", 2)]
-    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(1, 1, 0), (3, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, SCORE string, uses int"
+    text, near = " ".join(f"w{k}" for k in range(60)), " ".join(f"w{k}" for k in range(59)) + " other"
+    rows = [
+        (1, None, "en", "a", 0, "", 1),
+        (2, "", None, "a", None, None, None),
+        (4, text, "en", "a", 3, "x", 2),
+        (3, near, "en", "a", 3, "x", 2),
+        (3, near, "en", "a", 3, "x", 2),
+        (3, "a text of its own under a used id", "en", "a", 3, "x", 2),
+        (None, text, "en", "a", 3, "x", 2),
+        (None, "no id and said once only here", "en", None, 3, "x", 2),
+        (None, "no id and said once only here", "en", None, 3, "x", 2),
+    ]
+    table(spark, tmp_path, "documents", rows, schema)
+    table(spark, tmp_path, "labels", [(None, 1, 0), (1, None, None)], "doc_id long, quality int, toxic int")  # nothing to learn from
+    got = Counter((r["doc_id"], r["decoded"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert set(got) == {(1, ""), (2, ""), (3, near), (3, "a text of its own under a used id"), (None, "no id and said once only here")}
+    assert got[(3, near)] == 1 and got[(1, "")] == 1 and 1 <= got[(None, "no id and said once only here")] <= 2
+    table(spark, tmp_path, "documents", [], schema)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    table(spark, tmp_path, "labels", [], "doc_id long, quality int, toxic int")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_scan_edge_cases(spark):
+    line = licenses.TEMPLATES["MIT-line"]
+    rows = [(1, line, "x"), (1, line, "x"), (None, line, "y"), (2, None, None), (3, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, license string")
+    got = licenses.scan(docs).collect()
+    assert Counter((r["doc_id"], r["license"]) for r in got) == {(1, "MIT-line"): 2, (None, "MIT-line"): 1}
+    assert licenses.scan(docs.where("false")).count() == 0
