@@ -7,9 +7,10 @@ owners of the next arcs. The law is ``rows``: counts differ by one at most.
 
 Only the number of rows per arc, a fixed number of figures, meets on the
 driver, where the overflow is worked out. A row then needs its rank in its arc,
-by hash order of doc_id; arcs are cut into blocks of about ``ROWS`` rows, so an
-arc that holds a third of all rows, as a large group of equal texts does,
-spreads over as many tasks as its size asks for.
+by hash order of doc_id and text; arcs are cut into blocks of about ``ROWS``
+rows, so an arc that holds a third of all rows, as a large group of equal texts
+does, spreads over as many tasks as its size asks for. Rows equal in doc_id and
+text are counted before and dealt in pieces of at most ``ROWS``.
 """
 
 from __future__ import annotations
@@ -62,8 +63,8 @@ def assign(spark: SparkSession, docs: DataFrame, shards: int = 24) -> DataFrame:
     null text is that of the empty one. slot: gapless from 0 in each shard.
     grown_shard is null: under this law another shard takes an even share of
     all others. Equal texts share a place on the ring and so a shard, until
-    it is full. Rows that repeat a doc_id get slots of their own, in arbitrary
-    order among each other; a null doc_id is a row like others. Other columns
+    it is full. Rows that repeat a doc_id get slots of their own; a null doc_id
+    is a row like others. Other columns
     are ignored; an empty table gives an empty result.
     """
     if shards < 1:
@@ -87,16 +88,20 @@ def assign(spark: SparkSession, docs: DataFrame, shards: int = 24) -> DataFrame:
     cells = spark.createDataFrame(near, "cell long, near array<struct<start: long, arc: int>>")
     slim = slim.withColumn("cell", F.expr(f"place div {span}")).join(F.broadcast(cells), "cell")
     slim = slim.withColumn("arc", F.expr("element_at(filter(near, x -> x.start <= place), -1).arc")).drop("near", "place", "cell")
-    slim = scratch.keep(slim.withColumn("h", F.xxhash64("doc_id")))
-    demand = {r["arc"]: r["n"] for r in slim.groupBy("arc").agg(F.count("*").alias("n")).collect()}  # shards * NODES at most
+    slim = slim.groupBy("doc_id", "size", "text_crc32", "arc").agg(F.count("*").alias("times"))
+    slim = slim.withColumn("piece", F.explode(F.expr(f"sequence(0L, (times - 1) div {ROWS})")))
+    slim = slim.withColumn("times", F.expr(f"least({ROWS}L, times - piece * {ROWS})")).withColumn("h", F.xxhash64("doc_id", "text_crc32", "size", "piece"))
+    slim = scratch.keep(slim)
+    demand = {r["arc"]: r["n"] for r in slim.groupBy("arc").agg(F.sum("times").alias("n")).collect()}  # shards * NODES at most
     parts = [(a, -(-n // ROWS)) for a, n in demand.items()]
     cut = spark.createDataFrame(parts, "arc int, parts long")
     rows = slim.join(F.broadcast(cut), "arc").withColumn("part", F.expr("pmod(h, parts)"))
-    sums = rows.groupBy("arc", "part").agg(F.count("*").alias("n"))
+    sums = rows.groupBy("arc", "part").agg(F.sum("times").alias("n"))
     sums = sums.select("arc", "part", (F.sum("n").over(Window.partitionBy("arc").orderBy("part")) - F.col("n")).alias("before"))
     rows = rows.join(sums, ["arc", "part"])
-    rank = F.row_number().over(Window.partitionBy("arc", "part").orderBy("h", "doc_id", "text_crc32", "size")) - 1 + F.col("before")
-    rows = rows.withColumn("rank", rank)
+    within = Window.partitionBy("arc", "part").orderBy("h", "doc_id", "text_crc32", "size", "piece").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("rank", F.col("before") + F.sum("times").over(within) - F.col("times"))
+    rows = rows.withColumn("copy", F.explode(F.expr("sequence(0L, times - 1)"))).withColumn("rank", F.col("rank") + F.col("copy"))
     flow = spark.createDataFrame(
         flows(demand, [s for _, s in points], shards),
         "arc int, from long, to long, shard int, first long",
