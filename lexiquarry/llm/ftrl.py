@@ -70,7 +70,8 @@ def _featured(features):
             for a, b in W.chunks(offsets):
                 bucket, value, at = _grouped(features, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 cut = lambda x: pa.array([x[at[i] : at[i + 1]].tobytes() for i in range(b - a)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("label").slice(a, b - a), cut(bucket), cut(value)], ["doc_id", "label", "i", "v"])
+                own = batch.select(["doc_id", "label", "h"]).slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*own.columns, cut(bucket), cut(value)], ["doc_id", "label", "h", "i", "v"])
 
     return run
 
@@ -81,7 +82,7 @@ def _trained(params: Params):
         for batch in batches:
             for d, y, i, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows.append((d, y, np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(v, np.float32).astype(float)))
-        rows.sort(key=lambda r: (r[0], r[1], len(r[2])))
+        rows.sort(key=lambda r: r[0])
         w = train([(i, v) for _, _, i, v in rows], np.array([y for _, y, _, _ in rows], float), params)
         yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()], pa.binary())], ["w"])
 
@@ -93,13 +94,14 @@ def fit(docs: DataFrame, labels: DataFrame, features, params: Params, sample: in
 
     The bound makes the join's broadcast side and the one training task safe at
     any input size. Null ids and labels are ignored; of several labels for an
-    id the largest counts.
+    id the largest counts, and of several texts the one of lowest hash.
     """
     chosen = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    table = rows.mapInArrow(_featured(features), "doc_id long, label int, i binary, v binary")
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text", F.xxhash64("text").alias("h"))
+    table = rows.mapInArrow(_featured(features), "doc_id long, label int, h long, i binary, v binary")
+    table = table.groupBy("doc_id").agg(F.min(F.struct("h", "label", "i", "v")).alias("x")).select("doc_id", "x.label", "x.i", "x.v")
     got = table.repartition(1).mapInArrow(_trained(params), "w binary").collect()
     return np.frombuffer(bytes(got[0][0]), np.float32).astype(float) if got else np.zeros((1 << params.bits) + 1)
 

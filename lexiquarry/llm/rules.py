@@ -149,15 +149,17 @@ def learn(docs: DataFrame, labels: DataFrame) -> list[list[Condition]]:
     """Rules from the statistics of at most SAMPLE labelled texts, those of lowest id hash.
 
     Learns only from rows whose crc32(doc_id as text) mod 3 is not 1. What
-    reaches the driver is a few numbers for each of these rows.
+    reaches the driver is a few numbers for each of these ids; of several texts
+    of an id, the one whose numbers sort first counts.
     """
     known = labels.where("doc_id is not null and quality is not null").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     chosen = known.groupBy("doc_id").agg(F.max("quality").alias("q")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     # rows are sorted out on the driver: a filter here would be pushed below the projections and their expressions repeated
     found = statistics(texts).join(F.broadcast(chosen), "doc_id")
-    got = found.select("doc_id", "q", base_failed().alias("failed"), *(F.expr(e).cast("double").alias(m) for m, e in MEASURES.items())).collect()
-    got = list({r["doc_id"]: r for r in got if not r["failed"]}.values())
+    found = found.select("doc_id", "q", base_failed().alias("failed"), *(F.expr(e).cast("double").alias(m) for m, e in MEASURES.items()))
+    one = F.min(F.struct("failed", "q", *MEASURES)).alias("x")
+    got = [r for r in found.groupBy("doc_id").agg(one).select("doc_id", "x.*").collect() if not r["failed"]]
     got.sort(key=lambda r: hash((r["doc_id"] * 2654435761) & 0xFFFFFFFF))
     return learn_list([{m: r[m] for m in MEASURES} | {"poor": int(r["q"] == 0)} for r in got])
 
