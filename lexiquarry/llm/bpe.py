@@ -7,8 +7,9 @@ each is a logarithmic point update. Encoding ends when the root is empty.
 
 Words of up to ``SMALL`` bytes are encoded many at a time, their trees being
 the rows of one array; longer ones have a tree of their own. Words repeat a
-lot, so a worker remembers what it encoded, up to ``REMEMBERED`` words, and
-then starts afresh: memory does not follow the vocabulary of the corpus.
+lot, so a worker remembers what it encoded, up to ``REMEMBERED`` bytes of words
+of at most ``SHORT`` characters, and then starts afresh: memory follows neither
+the vocabulary of the corpus nor texts without blanks.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 
 SMALL = 32
-REMEMBERED = 1_200_000
+REMEMBERED, SHORT = 128 << 20, 64
 _BLANK = "\t-\r \x85\xa0  -     　"
 #: The pattern of byte-level BPE, with Unicode's White_Space spelt out.
 _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
@@ -84,6 +85,7 @@ class Model:
             self._key[at], self._rank[at], self._made[at] = key, rank, made
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.held = 0
 
     def _slot(self, key):
         return ((key * 0x9E3779B1) >> 15) & self._mask
@@ -269,9 +271,11 @@ class Model:
             elif t:
                 plan = self._plain(t)
             plans.append(plan)
-        if len(self.first) + len(self.later) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.first.clear()
             self.later.clear()
+            self.held = 0
+        long: list[tuple[dict, str]] = []
         for table, blank in ((self.first, ""), (self.later, " ")):
             seen: set[str] = set()
             for plan in plans:
@@ -280,7 +284,13 @@ class Model:
                         seen.update(us)
             if new := seen.difference(table):
                 self._learn(list(new), table, blank)
-        return [b"".join([us if t is None else b"".join(map(t.__getitem__, us)) for t, us in plan]) for plan in plans]
+                long += [(table, u) for u in new if len(u) > SHORT]
+                # as CPython holds them: two objects and their place in a table
+                self.held += sum(232 + len(u) + len(table[u]) for u in new if len(u) <= SHORT)
+        out = [b"".join([us if t is None else b"".join(map(t.__getitem__, us)) for t, us in plan]) for plan in plans]
+        for table, u in long:
+            del table[u]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the decoded text; bytes that are no UTF-8 become U+FFFD, as in a lossy conversion."""
@@ -314,6 +324,12 @@ def _run(path: str, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         gc.disable()  # nothing here makes cycles, and each collection would walk what is remembered
+        try:
+            yield from encoded(m, batches)
+        finally:
+            gc.enable()
+
+    def encoded(m: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text")
             for a, b in _groups(column):

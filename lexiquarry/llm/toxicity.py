@@ -183,7 +183,9 @@ class Features:
             if len(self.read) > 200_000:
                 self.read.clear()
             self.items = self.items or self.cost.ravel().tolist()
-            out = self.read[piece] = decode(piece.decode("utf-8", "replace"), self.items).encode()
+            out = decode(piece.decode("utf-8", "replace"), self.items).encode()
+            if len(piece) <= 256:
+                self.read[piece] = out
         return out
 
     def _words(self, raw, offsets):

@@ -8,7 +8,8 @@ character without a piece of its own costs the lowest score less 10; it counts
 as its UTF-8 bytes under byte fallback, else a run of such characters as one.
 
 Words are split before each blank, as by Metaspace with a blank put in front.
-A worker remembers the counts of up to ``REMEMBERED`` words, then starts afresh.
+A worker remembers the counts of up to ``REMEMBERED`` words of at most ``SHORT``
+characters, then starts afresh.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-REMEMBERED = 1_000_000
+REMEMBERED, SHORT = 500_000, 64
 _BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
 
@@ -39,9 +40,11 @@ class Counter(dict):
         self.automaton.make_automaton()
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        out = self[word] = self.count(_BLANK + word.replace(" ", _BLANK))
+        out = self.count(_BLANK + word)
+        if len(word) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = out
         return out
 
     def count(self, text: str) -> int:
@@ -104,9 +107,12 @@ def _run(path: str, byte_fallback: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path, byte_fallback)
         gc.disable()  # nothing here makes cycles
-        for batch in batches:
-            n = [count_text(c, t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
+        try:
+            for batch in batches:
+                n = [count_text(c, t.as_py()) for t in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
+        finally:
+            gc.enable()
 
     return run
 

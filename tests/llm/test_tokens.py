@@ -41,3 +41,31 @@ def test_unigram_ties_and_nulls():
         text = "".join(R.choice("abx ") for _ in range(R.randint(0, 12)))
         assert len(t.encode(text, add_special_tokens=False).ids) == unigram.count_text(c, text), repr(text)
     assert unigram.count_text(c, None) == 0
+
+
+def test_token_counts_of_a_table(spark):
+    path = tokenizer_file("piece_bpe_32k.model")
+    c = unigram.Counter(unigram.vocabulary(path), True)
+    rows = [(1, "some text"), (1, "some text"), (2, None), (3, ""), (None, "no id  here "), (4, "x" * 5000 + " " + "中" * 3000)]
+    docs = spark.createDataFrame([(d, t, "z") for d, t in rows], "doc_id long, text string, n_tokens string")
+    got = unigram.token_counts(docs, path)
+    assert got.columns == ["doc_id", "n_tokens"]
+    key = lambda x: (x[0] is None, x[0] or 0)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(((d, unigram.count_text(c, t)) for d, t in rows), key=key)
+    assert unigram.token_counts(docs.where("false"), path).count() == 0
+
+
+def test_memories_are_bounded(monkeypatch):
+    path = tokenizer_file("piece_bpe_32k.model")
+    monkeypatch.setattr(unigram, "REMEMBERED", 50)
+    c = unigram.Counter(unigram.vocabulary(path), True)
+    for k in range(500):
+        unigram.count_text(c, f"word{k} " + "long" * 40)
+    assert len(c) <= 50 and max(map(len, c)) <= unigram.SHORT
+    monkeypatch.setattr(bpe, "REMEMBERED", 20_000)
+    m, fresh = bpe.Model(tokenizer_file("byte_bpe_50k.json")), bpe.Model(tokenizer_file("byte_bpe_50k.json"))
+    for k in range(40):
+        texts = [f"word{k} and{k}x{j} " + "long" * 40 for j in range(20)]
+        assert m.encode(texts) == fresh.encode(texts)
+        assert max(map(len, [*m.first, *m.later]), default=0) <= bpe.SHORT
+    assert m.held < 40_000
