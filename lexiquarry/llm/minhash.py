@@ -391,19 +391,19 @@ def deduplicate(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent:
     """
     scratch = Scratch(spark)
     every = [F.col(f"`{c}`") for c in docs.columns]
-    named = docs.select(*every, F.xxhash64(F.lit(1), *every).alias("__h1"), F.xxhash64(F.lit(2), *every).alias("__h2"))
-    rows = named.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), "__h1", "__h2").withColumn("k", F.xxhash64("doc_id", "text"))
-    signed = scratch.keep(rows.mapInArrow(_signed(shingle), f"doc_id long, __h1 long, __h2 long, k long, {_SET}"))
+    named = docs.select(F.struct(*every).alias("row"), F.xxhash64(F.lit(1), *every).alias("h1"), F.xxhash64(F.lit(2), *every).alias("h2"))
+    rows = named.select(F.col("row.text").cast("string").alias("text"), F.col("row.doc_id").cast("long").alias("doc_id"), "h1", "h2").withColumn("k", F.xxhash64("doc_id", "text"))
+    signed = scratch.keep(rows.mapInArrow(_signed(shingle), f"doc_id long, h1 long, h2 long, k long, {_SET}"))
     classes = _classes(scratch, rows, signed, shingle, percent)
-    lines = signed.where("n_shingles > 0").groupBy("__h1", "__h2", "doc_id", *_ON).agg(F.count("*").alias("times")).join(classes, _ON)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__h1", "__h2")
+    lines = signed.where("n_shingles > 0").groupBy("h1", "h2", "doc_id", *_ON).agg(F.count("*").alias("times")).join(classes, _ON)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "h1", "h2")
     stays = lines.groupBy("rep_class").agg(F.min(order).alias("first"))
     lines = lines.join(stays, "rep_class").withColumn("stays", order == F.col("first"))
     # what does not simply stay
-    marked = scratch.keep(lines.where("not stays or times > 1").select("__h1", "__h2", "stays"))
+    marked = scratch.keep(lines.where("not stays or times > 1").select("h1", "h2", "stays"))
     scratch.drop(signed, classes)
-    one = named.join(marked.select("__h1", "__h2"), ["__h1", "__h2"], "left_anti").select(*every)
+    one = named.join(marked.select("h1", "h2"), ["h1", "h2"], "left_anti").select("row.*")
     again = marked.where("stays")
     if again.take(1):
-        one = one.unionByName(named.join(again.select("__h1", "__h2"), ["__h1", "__h2"], "left_semi").dropDuplicates(["__h1", "__h2"]).select(*every))
+        one = one.unionByName(named.join(again.select("h1", "h2"), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).select("row.*"))
     return one

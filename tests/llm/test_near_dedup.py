@@ -1,6 +1,7 @@
 """Similarity joins against brute force on small tables."""
 
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -129,6 +130,50 @@ def test_minhash_nulls_repeats_and_empty_tables(spark):
     assert minhash.near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_minhash_loses_no_link_of_a_real_table(spark):
+    """Ids divisible by 20 against all rows."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()}
+    sets = {i: shingles(t, 2) for i, t in rows}
+    links = [(i, j) for i in sets if i % 20 == 0 for j in sets if i != j and 4 * len(sets[i]) <= 5 * len(sets[j]) and 4 * len(sets[j]) <= 5 * len(sets[i]) and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert links and all(got[i] == got[j] for i, j in links)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_deduplicate_equals_brute_force(spark, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(minhash, "FOLLOWERS", 2)
+        monkeypatch.setattr(minhash, "STRAYS", 2)
+        monkeypatch.setattr(minhash, "OTHERS", 3)
+        monkeypatch.setattr(minhash, "FILTER_BITS", 1 << 15)
+    r = random.Random(5)
+    texts = [(d, t) for d, t in corpus() if not t or len(t) < 5000]
+    # ids that repeat with other texts, missing ids, and rows equal in all columns
+    rows = [(None if r.random() < 0.15 else d // 3 % 40, t, k % 3) for k, (d, t) in enumerate(texts)]
+    rows += [x for x in rows if r.random() < 0.2] + [(9, "only ever twice in here", 1)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, k int")
+    got = minhash.deduplicate(spark, df, 2, 80)
+    assert got.columns == df.columns
+    got = Counter(map(tuple, got.collect()))
+    cls = classes(range(len(rows)), linked([(i, t) for i, (_, t, _) in enumerate(rows)], 2, 80)[1])
+    assert got[(9, "only ever twice in here", 1)] == 1
+    of, kept = defaultdict(list), defaultdict(list)
+    for i, row in enumerate(rows):
+        of[cls[i]].append(row)
+    words_of = {c for c in of if words(of[c][0][1])}
+    where = {row: c for c, rs in of.items() for row in rs}
+    for row, n in got.items():
+        if where[row] in words_of:
+            kept[where[row]] += [row] * n
+        else:
+            assert n == rows.count(row)
+    assert {c: len(k) for c, k in kept.items()} == {c: 1 for c in words_of}
+    for c, [row] in kept.items():
+        ids = [x[0] for x in of[c] if x[0] is not None]
+        assert row[0] == (min(ids) if ids else None)
+    assert minhash.deduplicate(spark, df.where("false")).count() == 0
+
+
 def vectors():
     r = np.random.default_rng(8)
     out = [None, [], [0.0] * 8, [float("nan")] + [1.0] * 7, [float("inf")] + [1.0] * 7, [None] + [1.0] * 7, [1.0, 2.0], [2.0, 4.0]]
