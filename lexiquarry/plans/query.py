@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-_WORD = re.compile(r"[^\W_]+")
+import regex
+
+#: What the tokenizer calls a word.
+_WORD = regex.compile(r"(?V1)[[\p{L}\p{Nd}]&&[\x00-\uFFFF]]+")
 
 
 @dataclass(frozen=True)
@@ -17,8 +20,8 @@ class Plan:
 
 def first_word(term: str) -> str:
     """The analyzer's first token, or the term in lower case if it has none."""
-    found = [c for c in _WORD.findall(term.lower())]
-    return found[0] if found else term.lower()
+    found = _WORD.search(term.lower())
+    return found.group() if found else term.lower()
 
 
 def normalize(query: str) -> str:
