@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexiquarry.functions.analysis import Filter, tokenize
@@ -11,50 +12,95 @@ from lexiquarry.functions.analysis import Filter, tokenize
 
 @dataclass(frozen=True)
 class Index:
-    """documents(doc_id, title, content), postings(term, doc_id, tf, positions) and doc_stats(doc_id, doc_len)."""
+    """documents(doc_id, title, content), postings(term, doc_id, tf, positions, doc_len) and doc_stats(doc_id, doc_len).
+
+    A stored or persisted index also has the tables that ranking needs at every
+    query: the vocabulary with document frequencies, and the corpus statistics.
+    """
 
     documents: DataFrame
     postings: DataFrame
     doc_stats: DataFrame
+    stored_vocab: DataFrame | None = None
+    stored_corpus: DataFrame | None = None
 
     def vocab(self) -> DataFrame:
+        if self.stored_vocab is not None:
+            return self.stored_vocab
         return self.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
     def corpus_stats(self) -> DataFrame:
         """One row; documents without tokens count."""
+        if self.stored_corpus is not None:
+            return self.stored_corpus
         return self.doc_stats.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
 
+    def df_of(self, terms: list[str]) -> DataFrame:
+        """term and df of some terms: looked up where the vocabulary is stored, else counted over their postings alone."""
+        if self.stored_vocab is not None:
+            return self.stored_vocab.where(F.col("term").isin(terms)).select("term", "df")
+        return self.postings.where(F.col("term").isin(terms)).groupBy("term").agg(F.count("*").alias("df"))
+
     def persist(self) -> Index:
-        return Index(self.documents, self.postings.persist(), self.doc_stats.persist())
+        kept = Index(self.documents, self.postings.persist(), self.doc_stats.persist())
+        return Index(kept.documents, kept.postings, kept.doc_stats, kept.vocab().persist(), kept.corpus_stats().persist())
 
     def unpersist(self) -> None:
-        self.postings.unpersist()
-        self.doc_stats.unpersist()
+        for t in (self.postings, self.doc_stats, self.stored_vocab, self.stored_corpus):
+            if t is not None:
+                t.unpersist()
 
     def save(self, path: str) -> None:
-        """Postings are range-partitioned and sorted by term, so a term or prefix filter skips row groups."""
+        """Postings and vocabulary are range-partitioned and sorted by term, so a term or prefix filter skips row groups."""
         self.documents.write.mode("overwrite").parquet(f"{path}/documents")
         self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+        stored = Index.load(self.postings.sparkSession, path)  # counted from what is stored, not from its plan again
+        stored.vocab().repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocab")
+        stored.corpus_stats().write.mode("overwrite").parquet(f"{path}/corpus")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("documents", "postings", "doc_stats")))
+        """The index at ``path`` with all that was appended to it.
+
+        Batches of a stream are folders ``batch=n``: of a document that came
+        more than once, the latest batch counts. Statistics are read where they
+        belong to exactly these tables, that is where nothing was appended.
+        """
+        tables = [spark.read.parquet(f"{path}/{t}") for t in ("documents", "postings", "doc_stats")]
+        if "batch" in tables[2].columns:
+            last = tables[2].groupBy("doc_id").agg(F.max(F.coalesce("batch", F.lit(-1))).alias("batch"))
+            live = lambda t: t.withColumn("batch", F.coalesce("batch", F.lit(-1))).join(last, ["doc_id", "batch"], "left_semi")
+            return Index(*(live(t).select(*(c for c in t.columns if c != "batch")) for t in tables))
+        try:
+            return Index(*tables, spark.read.parquet(f"{path}/vocab"), spark.read.parquet(f"{path}/corpus"))
+        except AnalysisException:  # not counted yet
+            return Index(*tables)
 
 
 def build_postings(tokens: DataFrame) -> DataFrame:
-    """One row per (term, document): frequency and sorted positions."""
-    return tokens.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
+    """One row per (term, document): frequency, sorted positions and the length of the document."""
+    rows = tokens.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
+    lengths = tokens.groupBy("doc_id").agg(F.count("*").cast("int").alias("doc_len"))
+    return rows.join(lengths, "doc_id").select("term", "doc_id", "tf", "positions", "doc_len")
+
+
+def _stats(documents: DataFrame, postings: DataFrame) -> DataFrame:
+    ids = documents.groupBy("doc_id").agg(F.count("*").alias("n"))
+    lengths = postings.groupBy("doc_id").agg(F.max("doc_len").alias("doc_len"))
+    twice = F.raise_error(F.concat(F.lit("several documents have the doc_id "), F.col("doc_id").cast("string"))).cast("int")
+    return ids.join(lengths, "doc_id", "left").select("doc_id", F.when(F.col("n") > 1, twice).otherwise(F.coalesce("doc_len", F.lit(0))).alias("doc_len"))
 
 
 def build(documents: DataFrame, analyze: Filter = tokenize) -> Index:
-    """``documents``: doc_id, title, content. Null contents count as empty documents."""
-    documents = documents.select("doc_id", "title", "content")
-    tokens = analyze(documents.select("doc_id", F.col("content").alias("text")))
-    postings = build_postings(tokens)
-    lengths = postings.groupBy("doc_id").agg(F.sum("tf").cast("int").alias("doc_len"))
-    stats = documents.select("doc_id").join(lengths, "doc_id", "left").select("doc_id", F.coalesce("doc_len", F.lit(0)).alias("doc_len"))
-    return Index(documents, postings, stats)
+    """``documents``: doc_id, title, content. Null contents count as empty documents; rows without an id are left out.
+
+    Ids are unique: a query that needs the lengths of documents fails where
+    they are not. ``upsert`` takes repeated ids.
+    """
+    documents = documents.select("doc_id", "title", "content").where("doc_id is not null")
+    postings = build_postings(analyze(documents.select("doc_id", F.col("content").alias("text"))))
+    return Index(documents, postings, _stats(documents, postings))
 
 
 def remove(index: Index, ids: DataFrame) -> Index:
@@ -62,9 +108,26 @@ def remove(index: Index, ids: DataFrame) -> Index:
     return Index(*(t.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*t.columns) for t in (index.documents, index.postings, index.doc_stats)))
 
 
+def existed(index: Index, ids: DataFrame) -> DataFrame:
+    """doc_id and whether a removal would find the document; each id once."""
+    known = index.doc_stats.select("doc_id", F.lit(True).alias("existed"))
+    return ids.select("doc_id").distinct().join(known, "doc_id", "left").select("doc_id", F.coalesce("existed", F.lit(False)).alias("existed"))
+
+
+def remove_terms(index: Index, ids: DataFrame) -> Index:
+    """Without the terms of the documents of ``ids(doc_id)``, which stay as empty ones."""
+    gone = ids.select("doc_id").distinct()
+    postings = index.postings.join(gone, "doc_id", "left_anti").select(*index.postings.columns)
+    return Index(index.documents, postings, _stats(index.documents, postings))
+
+
 def upsert(index: Index, documents: DataFrame, analyze: Filter = tokenize) -> Index:
-    """Documents added, or replaced where their id is there already; only these are analyzed."""
-    kept, new = remove(index, documents), build(documents, analyze)
+    """Documents added, or replaced where their id is there already; only these are analyzed.
+
+    Of several new documents with one id, that whose title and content sort last counts.
+    """
+    one = documents.groupBy("doc_id").agg(F.max(F.struct("title", "content")).alias("x")).select("doc_id", "x.title", "x.content")
+    kept, new = remove(index, documents), build(one, analyze)
     return Index(kept.documents.unionByName(new.documents), kept.postings.unionByName(new.postings), kept.doc_stats.unionByName(new.doc_stats))
 
 
@@ -75,11 +138,8 @@ def upsert_terms(postings: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def rebuild(index: Index) -> Index:
     """Postings and lengths anew from stored terms."""
-    tokens = index.postings.select("doc_id", "term", F.explode("positions").alias("position"))
-    postings = build_postings(tokens)
-    lengths = postings.groupBy("doc_id").agg(F.sum("tf").cast("int").alias("doc_len"))
-    stats = index.documents.select("doc_id").join(lengths, "doc_id", "left").select("doc_id", F.coalesce("doc_len", F.lit(0)).alias("doc_len"))
-    return Index(index.documents, postings, stats)
+    postings = build_postings(index.postings.select("doc_id", "term", F.explode("positions").alias("position")))
+    return Index(index.documents, postings, _stats(index.documents, postings))
 
 
 def clear(index: Index) -> Index:

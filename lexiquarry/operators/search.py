@@ -27,12 +27,11 @@ class BM25:
 
 
 def _weighed(index: Index, terms: list[str], params: BM25) -> DataFrame:
-    """Postings of some terms with their score. The df is a count over those postings alone."""
+    """Postings of some terms with their score. What is joined is a row per query term and one of the corpus."""
     hits = index.postings.where(F.col("term").isin(terms))
     if params.scoring != "bm25":
         return hits.withColumn("w", F.col("tf").cast("double") if params.scoring == "tf" else F.lit(0.0))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # one row a query term
-    hits = hits.join(F.broadcast(df), "term").join(index.doc_stats, "doc_id").join(F.broadcast(index.corpus_stats()))
+    hits = hits.join(F.broadcast(index.df_of(terms)), "term").join(F.broadcast(index.corpus_stats()))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     norm = F.col("tf") / (1 - params.b + params.b * F.col("doc_len") / F.col("avg_len"))
     return hits.withColumn("w", idf * norm * (params.k1 + 1) / (norm + params.k1))
@@ -65,9 +64,14 @@ def max_doc(index: Index, term: str) -> DataFrame:
     return index.postings.where(F.col("term") == term).agg(F.coalesce(F.max("doc_id"), F.lit(-1).cast("long")).alias("max_doc"))
 
 
+def prefix_rows(index: Index, prefix: str) -> DataFrame:
+    """term and doc_id of the words that begin so; the form for words of any frequency."""
+    return index.postings.where(F.col("term").startswith(prefix.lower())).select("term", "doc_id")
+
+
 def prefix_words(index: Index, prefix: str) -> DataFrame:
-    """Words that begin so, with their documents."""
-    return index.postings.where(F.col("term").startswith(prefix.lower())).groupBy("term").agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
+    """Words that begin so, each with the list of its documents, which is as long as the word is common."""
+    return prefix_rows(index, prefix).groupBy("term").agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
 
 
 def prefix_docs(index: Index, prefix: str) -> DataFrame:
@@ -113,10 +117,10 @@ def _phrase_rows(rows: DataFrame, words: list[str]) -> DataFrame:
 
 
 def phrase_count(index: Index, query: str) -> DataFrame:
-    """Documents of a phrase, with the number of merges, which is one less than that of its words."""
+    """Documents of a phrase, with the number of merges, which is one less than that of its words; by count, then doc_id."""
     words = [w for w in query.lower().split(" ") if w]
     rows = index.postings.where(F.col("term").isin(words))
-    return _phrase_rows(rows, words).select("doc_id", F.lit(max(len(words) - 1, 1)).alias("count"))
+    return _phrase_rows(rows, words).select("doc_id", F.lit(max(len(words) - 1, 1)).alias("count")).orderBy(F.desc("count"), "doc_id")
 
 
 def parse_boolean(query: str) -> list[tuple[str | None, str]]:

@@ -45,8 +45,8 @@ class TextIndex:
             raise ValueError(f"unknown operation {operation!r}")
         return self.operations[name](q if name == "autocomplete" else qp.normalize(q))
 
-    def search(self, q: str, limit: int | None = None) -> DataFrame:
-        """Documents of a query with titles and snippets; these are made after the limit."""
+    def search(self, q: str, limit: int | None = None, offset: int = 0) -> DataFrame:
+        """Documents of a query with titles and snippets, best first; these are made after offset and limit."""
         if not q.strip():
             raise ValueError("the query is blank")
         plan = qp.route(q)
@@ -54,12 +54,28 @@ class TextIndex:
             hits = search.prefix_docs(self.index, plan.text).select("doc_id", F.lit(None).cast("int").alias("score"), F.lit(None).cast("double").alias("raw_score"))
         else:
             hits = self.full_text(q)
-        if limit is not None:
-            hits = hits.orderBy(F.desc("raw_score"), "doc_id").limit(limit)
+        if limit is not None or offset:
+            hits = hits.orderBy(F.desc("raw_score"), "doc_id").offset(offset)
+            hits = hits.limit(limit) if limit is not None else hits
         out = hits.join(self.index.documents, "doc_id", "left")
         snippet = display.snippet(F.col("content"), F.col("title"), plan.text, plan.kind)
         return out.select("doc_id", "title", snippet.alias("snippet"), "score", "raw_score").orderBy(F.desc("raw_score"), "doc_id")
 
+    def response(self, q: str, limit: int | None = None, offset: int = 0) -> dict:
+        """What a service answers: a page of results (``limit`` rows), all hits counted, the query, its kind and the parameters.
+
+        The results are a DataFrame with id, title, snippet and score, tenths with one decimal.
+        """
+        plan = qp.route(q)
+        hits = search.prefix_docs(self.index, plan.text) if plan.kind == "prefix" else self.full_text(q)
+        page = self.search(q, limit, offset).select(F.col("doc_id").cast("string").alias("id"), "title", "snippet", F.round(F.col("score") / 10, 1).alias("score"))
+        return {"results": page, "totalCount": hits.count(), "query": q, "operation": qp.label(q), "parameters": {"k1": self.params.k1, "b": self.params.b}}
+
+    def last_word_exists(self, q: str) -> DataFrame:
+        """One row: does the last word of what is being typed occur."""
+        words = q.split()
+        return search.exists(self.index, qp.first_word(words[-1]) if words else "")
+
     def document(self, title: str, q: str | None = None) -> DataFrame:
         """A document by title, highlighted for a query; of several, the lowest id."""
         one = self.index.documents.where(F.col("title") == title).orderBy("doc_id").limit(1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -75,14 +76,11 @@ def _operand(t: str) -> str:
     return f"max(CASE WHEN term = '{t}' THEN w END)"
 
 
-def _boolean_sql(query: str) -> str:
-    parts = search.parse_boolean(query)
-    match = f"({_operand(parts[0][1])} IS NOT NULL)"
-    for op, t in parts[1:]:
-        if op:
-            match = f"({match} {'AND' if op == '&&' else 'OR'} {_operand(t)} IS NOT NULL)"
-    score = " + ".join(f"coalesce({_operand(t)}, 0)" for _, t in parts)
-    return _hits(f"WITH {_weights()}, raw AS (SELECT doc_id, {score} AS raw_score FROM w GROUP BY doc_id HAVING {match})")
+def _boolean_sql(match: str, listed: list[str]) -> str:
+    """``match``: a condition over has('term'); ``listed``: the operands, as often as they stand in the query."""
+    has = re.sub(r"has\('(\w+)'\)", lambda m: f"bool_or(term = '{m.group(1)}')", match)
+    score = " + ".join(f"coalesce({_operand(t)}, 0)" for t in listed)
+    return _hits(f"WITH {_weights()}, raw AS (SELECT doc_id, {score} AS raw_score FROM w GROUP BY doc_id HAVING {has})")
 
 
 def _phrase_docs(words: list[str]) -> str:
@@ -128,10 +126,42 @@ _add(
 )
 
 
+#: The cleaner's patterns and replacements, in order, in the dialect of DuckDB. White space is Unicode's.
+_SPACE = r"\t-\r \x{1c}-\x{1f}\x{85}\p{Z}"
+_CLEAN = (
+    (r"\{\{Infobox[@]+[^}]*\}\}.*?\}\}", "", "gs"),
+    (r"\{\{[Ii]nfobox[@].*?\}\}", "", "gs"),
+    (r"\{\{[^{}]*?\}\}", "", "gs"),
+    (r"\{\{.*?\}\}", "", "gs"),
+    (r"\{\{[Pp]rotection.*?\}\}", "", "gs"),
+    (r"\{\{[Ss]hort description\|.*?\}\}", "", "gs"),
+    (r"\[\[Category:[^\n]*?\]\]", "", "g"),
+    (r"\[\[File:[^\n]*?\]\]", "", "g"),
+    (r"\[\[Image:[^\n]*?\]\]", "", "g"),
+    (r"<!--.*?-->", "", "gs"),
+    (r"\[\[([^|\]]*)\|([^\]]*)\]\]", r"\2", "g"),
+    (r"\[\[([^\]]*)\]\]", r"\1", "g"),
+    (r"<ref[^>]*>.*?</ref>", "", "gs"),
+    (r"<ref[^>]*/>", "", "g"),
+    (r"\[http[^ ]* ([^\]]*)\]", r"\1", "g"),
+    (r"\[(https?|ftp)://[^@\]]+[@]([^\]]*)\]", r"\2", "g"),
+    (r"'{2,}", "", "g"),
+    (r"={2,}([^\n]*?)={2,}", r"\1", "g"),
+    (r"\{\|.*?\|\}", "", "gs"),
+    (r"<[^>]+>", "", "g"),
+    (r"\n\n\n", "\n\n", "g"),
+    (r"https?://[^@]+", "", "g"),
+    (r"[@]{2,}", " ", "g"),
+    (r"^[@]+", "", "g"),
+    (r"[@]+$", "", "g"),
+)
+
+
 def _clean_sql(column: str) -> str:
-    for pattern, put in analysis.MARKUP:
-        column = f"regexp_replace({column}, '{pattern.replace(chr(39), chr(39) * 2)}', '{put.replace('$1', chr(92) + '1')}', 'g')"
-    return f"trim({column}, ' ')"
+    quoted = lambda x: "'" + x.replace("@", _SPACE).replace("'", "''") + "'"
+    for pattern, put, options in _CLEAN:
+        column = f"regexp_replace({column}, {quoted(pattern)}, {quoted(put)}, '{options}')"
+    return column
 
 
 _add("clean_markup", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", analysis.clean_markup(F.col("html")).alias("clean")), f"SELECT page_id, {_clean_sql('html')} AS clean FROM pages")
@@ -168,8 +198,13 @@ _add("max_doc_for_term", _on_index(lambda i: search.max_doc(i, "of")), f"WITH {_
 _add("phrase_bm25", _on_index(lambda i: _rounded(search.phrase(i, "of the"))), _phrase_sql("of the"))
 _add("phrase_three", _on_index(lambda i: _rounded(search.phrase(i, "of the and"))), _phrase_sql("of the and"))
 _add("phrase_count", _on_index(lambda i: search.phrase_count(i, "of the")), f"WITH {_TOKENS} SELECT doc_id, 1 AS count FROM ({_phrase_docs(['of', 'the'])})")
-for _name, _q in (("boolean_bm25", "was && or || and"), ("boolean_mixed_lr", "was || or && and"), ("boolean_implicit", "the was && or"), ("boolean_repeated", "and && and || was")):
-    _add(_name, _on_index(lambda i, q=_q: _rounded(search.boolean(i, q))), _boolean_sql(_q))
+for _name, _q, _match, _listed in (
+    ("boolean_bm25", "was && or || and", "(has('was') AND has('or')) OR has('and')", ["was", "or", "and"]),
+    ("boolean_mixed_lr", "was || or && and", "(has('was') OR has('or')) AND has('and')", ["was", "or", "and"]),
+    ("boolean_implicit", "the was && or", "has('the') AND has('or')", ["the", "was", "or"]),
+    ("boolean_repeated", "and && and || was", "(has('and') AND has('and')) OR has('was')", ["and", "and", "was"]),
+):
+    _add(_name, _on_index(lambda i, q=_q: _rounded(search.boolean(i, q))), _boolean_sql(_match, _listed))
 _has = lambda t: f"SELECT doc_id FROM tokens WHERE term = '{t}'"
 _add("boolean_naive", _on_index(lambda i: search.boolean_sets(i, "was && or || and")), f"WITH {_TOKENS} (({_has('was')}) INTERSECT ({_has('or')})) UNION ({_has('and')})")
 _add("boolean_bitmap", _on_index(lambda i: search.bitmap_counts(i, ["the", "and", "was", "or"])), f"WITH {_TOKENS} SELECT term, count(DISTINCT doc_id) AS n_docs FROM tokens WHERE term IN ('the', 'and', 'was', 'or') GROUP BY term")
@@ -223,6 +258,15 @@ _add("highlight_removed", lambda s, d: _english(s, d).select("doc_id", display.u
 # The SQL of the queries above, and of legacy_tokens, selects texts where DuckDB's ASCII classes agree with Unicode ones.
 # The same over the whole table has no SQL.
 _add("legacy_tokens_all", lambda s, d: analysis.legacy_words(documents(s, d)))
+_add(
+    "legacy_index",
+    lambda s, d: analysis.legacy_index(titled(documents(s, d)).withColumnRenamed("content", "text")),
+    r"""WITH l AS (SELECT doc_id, concat(source, '/', doc_id) AS title, list_filter(list_transform(regexp_split_to_array(lower(text), '[\t-\r ]+'), lambda w: regexp_replace(w, '[^a-z0-9]', '', 'g')), lambda w: w <> '') AS l FROM documents),
+  t AS (SELECT doc_id, title, unnest(l) AS term FROM l), c AS (SELECT term, count(*) AS count FROM t GROUP BY term)
+  SELECT term, count, title, max(doc_id) AS newest FROM t JOIN c USING (term) GROUP BY term, count, title""",
+)
+_add("phrase_page", _on_index(lambda i: _rounded(search.phrase(i, "of the").orderBy(F.desc("raw_score"), "doc_id").offset(10).limit(10))), _phrase_sql("of the") + " ORDER BY raw.raw_score DESC, doc_id LIMIT 10 OFFSET 10")
+_add("removal_existed", lambda s, d: ix.existed(built(s, d), documents(s, d).selectExpr("doc_id * 2 as doc_id")), "SELECT doc_id * 2 AS doc_id, doc_id * 2 IN (SELECT doc_id FROM documents) AS existed FROM documents")
 for _kind, (_q, _) in _SHOWN.items():
     _add(f"highlight_{_kind}_all", lambda s, d, q=_q, k=_kind: titled(documents(s, d)).select("doc_id", display.highlight(F.col("content"), q, k).alias("content")))
     _add(f"snippet_{_kind}_all", lambda s, d, q=_q, k=_kind: titled(documents(s, d)).select("doc_id", display.snippet(F.col("content"), F.col("title"), q, k).alias("snippet")))
@@ -238,6 +282,15 @@ def _bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("bloom_membership", _bloom, f"WITH {_TOKENS} SELECT DISTINCT term, true AS found FROM tokens")
+
+
+def _bloom_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = built(spark, sf_dir).vocab().select(F.concat("term", F.lit("-")).alias("term"))  # no term has a hyphen
+    made = bloom.build(built(spark, sf_dir).vocab(), 1_000_000, 0.01)
+    return terms.select("term", bloom.might_contain(made, F.col("term")).alias("found")).agg(F.count("*").alias("n_asked"), (F.avg(F.col("found").cast("double")) < 0.02).alias("few_found"))
+
+
+_add("bloom_absent", _bloom_absent, f"WITH {_TOKENS} SELECT count(DISTINCT term) AS n_asked, true AS few_found FROM tokens")
 _add("exact_membership", lambda s, d: bloom.contains(s.createDataFrame([("the",), ("zzzz",), ("or",)], "term string"), built(s, d).postings), f"WITH {_TOKENS}, q(term) AS (VALUES ('the'), ('zzzz'), ('or')) SELECT term, term IN (SELECT term FROM tokens) AS found FROM q")
 
 
@@ -259,4 +312,4 @@ _add(
     _hits(f"WITH {_without('true', f'CASE WHEN source = {chr(39)}src3{chr(39)} THEN {chr(39)}{_NEW}{chr(39)} ELSE text END')}, {_EXACT.format('the')}"),
 )
 _add("rebuild", _on_index(lambda i: _rounded(search.exact(ix.rebuild(i), "was"))), ORACLES["exact_bm25"])
-_add("search_routed", lambda s, d: TextIndex(built(s, d)).search("Was && OR").select("doc_id", "title", "score"), _boolean_sql("was && or").replace("SELECT doc_id, trunc(raw_score * 1000)::INT AS score, round(raw_score, 6) AS raw_score FROM raw", "SELECT doc_id, title, trunc(raw_score * 1000)::INT AS score FROM raw JOIN lists USING (doc_id)"))
+_add("search_routed", lambda s, d: TextIndex(built(s, d)).search("Was && OR").select("doc_id", "title", "score"), _boolean_sql("has('was') AND has('or')", ["was", "or"]).replace("SELECT doc_id, trunc(raw_score * 1000)::INT AS score, round(raw_score, 6) AS raw_score FROM raw", "SELECT doc_id, title, trunc(raw_score * 1000)::INT AS score FROM raw JOIN lists USING (doc_id)"))

@@ -81,8 +81,8 @@ def next_ids(documents: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def update_content(documents: DataFrame, changes: DataFrame) -> DataFrame:
-    """Contents replaced by those of ``changes(doc_id, content)``; unknown ids change nothing."""
-    new = changes.select("doc_id", F.col("content").alias("new"), F.lit(True).alias("hit"))
+    """Contents replaced by those of ``changes(doc_id, content)``; unknown ids change nothing, and of several contents for an id the last in order counts."""
+    new = changes.groupBy("doc_id").agg(F.max("content").alias("new"), F.lit(True).alias("hit"))
     out = documents.join(new, "doc_id", "left")
     return out.withColumn("content", F.when(F.col("hit"), F.col("new")).otherwise(F.col("content"))).select(*documents.columns)
 

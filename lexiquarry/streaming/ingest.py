@@ -13,11 +13,14 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, analyze: Filter = toke
     """Write postings and lengths of ``stream(doc_id, title, content)`` under ``path``.
 
     A batch writes a folder of its own name, and overwrites it when it is run
-    again after a failure, so each document is indexed once.
+    again after a failure, so each document is indexed once. A document that is
+    sent again replaces its earlier form when the index is loaded: the latest
+    batch counts, and in a batch the row that ``upsert`` would take.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        made = ix.build(batch, analyze)
+        nothing = ix.clear(ix.build(batch, analyze))
+        made = ix.upsert(nothing, batch, analyze)
         for name in ("documents", "postings", "doc_stats"):
             getattr(made, name).write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
 

@@ -46,3 +46,15 @@ def test_postings_filter_reaches_the_scan(spark, tmp_path):
     plan = search.prefix_docs(stored, "th")._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(term,th)" in plan and "positions" not in plan.split("ReadSchema")[1]
     assert search.exact(stored, "the").count() == search.exact(registry.built(spark, SF), "the").count()
+
+
+def test_a_term_query_on_a_stored_index_shuffles_only_to_sort(spark, tmp_path):
+    from lexiquarry.operators import index as ix, search
+
+    registry.built(spark, SF).save(str(tmp_path))
+    stored = ix.Index.load(spark, str(tmp_path))
+    plan = search.exact(stored, "the")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and plan.count("Exchange hashpartitioning") == 0 and plan.count("Exchange SinglePartition") == 0
+    assert plan.count("FileScan") == 3 and "doc_stats" not in plan
+    want = search.exact(registry.built(spark, SF), "the").collect()
+    assert search.exact(stored, "the").collect() == want

@@ -41,7 +41,7 @@ def test_ids_updates_and_csv(spark, tmp_path):
     new = C.next_ids(docs, spark.createDataFrame([("n", "z"), ("m", "w")], "title string, content string"))
     ids = [r["doc_id"] for r in new.collect()]
     assert len(set(ids)) == 2 and min(ids) > 7
-    after = C.update_content(docs, spark.createDataFrame([(7, "new"), (99, "none")], "doc_id long, content string"))
+    after = C.update_content(docs, spark.createDataFrame([(7, "new"), (7, "later"), (99, "none")], "doc_id long, content string"))
     assert {(r["doc_id"], r["content"]) for r in after.collect()} == {(0, "x"), (7, "new")}
     C.write_csv(docs, str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 2
@@ -56,3 +56,9 @@ def test_stream_into_a_stored_index(spark, tmp_path):
     stored = ix.Index.load(spark, str(tmp_path / "index"))
     assert {r["doc_id"] for r in search.exact_docs(stored, "two").collect()} == {1, 2, 3}
     assert stored.doc_stats.count() == 3
+    again = [(2, "b", "four"), (5, "e", "two"), (5, "e", "one")]
+    spark.createDataFrame(again, fields).write.mode("append").parquet(source)
+    ingest(stream(), str(tmp_path / "index"), str(tmp_path / "cp")).awaitTermination()
+    stored = ix.Index.load(spark, str(tmp_path / "index"))
+    assert {r["doc_id"] for r in search.exact(stored, "two").collect()} == {1, 3, 5}
+    assert {r["doc_id"] for r in search.exact(stored, "four").collect()} == {2} and stored.documents.count() == 4
