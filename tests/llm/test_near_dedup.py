@@ -195,6 +195,7 @@ def vector_links(rows, limit):
 
 @pytest.mark.parametrize(("interval", "leaf"), [(8192, 512), (7, 2)])
 def test_vectors_equal_brute_force(spark, monkeypatch, interval, leaf):
+    monkeypatch.setattr(egojoin, "TILE", 3)
     monkeypatch.setattr(egojoin, "INTERVAL", interval)
     monkeypatch.setattr(egojoin, "LEAF", leaf)
     monkeypatch.setattr(egojoin, "FAN", 2)
@@ -208,6 +209,29 @@ def test_vectors_equal_brute_force(spark, monkeypatch, interval, leaf):
     assert all(r["kept"] == (i == want[i]) for i, r in got.items())
 
 
+def test_vectors_of_one_id_and_planted_links(spark, monkeypatch):
+    """Links in a table without any, hot copies, repeated vec_ids with equal and other vectors; single precision."""
+    monkeypatch.setattr(egojoin, "INTERVAL", 60)
+    monkeypatch.setattr(egojoin, "LEAF", 16)
+    monkeypatch.setattr(egojoin, "TILE", 2)
+    r = np.random.default_rng(3)
+    base = [np.array(x["embedding"], float) for x in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").limit(250).collect()]
+    rows = list(enumerate(base)) + [(300 + k, base[k] + r.normal(size=len(base[k])) * 0.03) for k in range(0, 60, 3)] + [(400 + k, base[7]) for k in range(50)]
+    rows += [(5, base[20]), (5, base[5]), (8, base[8]), (9, base[11] * 2)]
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in rows]
+    got = egojoin.near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 0.9).collect()
+    unit = np.array([v for _, v in rows], float)
+    unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    near = unit @ unit.T >= 0.9
+    ids = [i for i, _ in rows]
+    links = Counter()
+    for k, n in enumerate(near.sum(axis=1) - 1):
+        links[ids[k]] += int(n)
+    want = classes(ids, [(ids[a], ids[b]) for a, b in zip(*np.nonzero(near), strict=True) if a < b])
+    assert len(got) == len(rows) and sum(links.values()) > 1000
+    assert all((x["n_links"], x["component_id"], x["kept"]) == (links[x["vec_id"]], want[x["vec_id"]], want[x["vec_id"]] == x["vec_id"]) for x in got)
+
+
 def test_vectors_without_any_valid(spark):
     df = spark.createDataFrame([(1, None), (None, [1.0])], "vec_id long, embedding array<float>")
     got = egojoin.near_duplicates(spark, df).orderBy(F.desc_nulls_last("vec_id")).collect()
