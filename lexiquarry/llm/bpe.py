@@ -7,9 +7,10 @@ each is a logarithmic point update. Encoding ends when the root is empty.
 
 Words of up to ``SMALL`` bytes are encoded many at a time, their trees being
 the rows of one array; longer ones have a tree of their own. Words repeat a
-lot, so a worker remembers what it encoded, up to ``REMEMBERED`` bytes of words
+lot, so a task remembers what it encoded, up to ``REMEMBERED`` bytes of words
 of at most ``SHORT`` characters, and then starts afresh: memory follows neither
-the vocabulary of the corpus nor texts without blanks.
+the vocabulary of the corpus nor texts without blanks, and a worker that waits
+holds the vocabulary file alone.
 """
 
 from __future__ import annotations
@@ -272,9 +273,7 @@ class Model:
                 plan = self._plain(t)
             plans.append(plan)
         if self.held > REMEMBERED:
-            self.first.clear()
-            self.later.clear()
-            self.held = 0
+            self.forget()
         long: list[tuple[dict, str]] = []
         for table, blank in ((self.first, ""), (self.later, " ")):
             seen: set[str] = set()
@@ -292,6 +291,11 @@ class Model:
             del table[u]
         return out
 
+    def forget(self) -> None:
+        self.first.clear()
+        self.later.clear()
+        self.held = 0
+
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the decoded text; bytes that are no UTF-8 become U+FFFD, as in a lossy conversion."""
         raw = b"".join(map(self.token_bytes.__getitem__, memoryview(ids).cast("I")))
@@ -327,6 +331,7 @@ def _run(path: str, digests: bool):
         try:
             yield from encoded(m, batches)
         finally:
+            m.forget()
             gc.enable()
 
     def encoded(m: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
