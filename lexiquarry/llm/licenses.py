@@ -10,7 +10,8 @@ windows of one shingle, where a shared shingle collides for certain.
 
 A candidate is a match if the window holds ``CONTAINMENT`` or more of the
 template's distinct shingles. Of templates so alike that either's text matches
-the other, as versions of a license are, the best contained one stands.
+the other, as versions of a license are, the best contained one stands; of a
+template within a longer one that is found around it, the longer one.
 
 Notices of fewer than five words have no shingle; their whole word sequence is
 looked up at every word.
@@ -151,6 +152,8 @@ class Templates:
             raise ValueError(f"templates of fewer than {SHINGLE} words: {empty}")
         alike = lambda a, b: len(np.intersect1d(a, b)) >= CONTAINMENT * max(len(a), len(b))
         self.alike = {i: {j for j, b in enumerate(self.sets) if j != i and alike(a, b)} for i, a in enumerate(self.sets)}
+        inside = lambda a, b: len(a) < len(b) and len(np.intersect1d(a, b)) >= CONTAINMENT * len(a)
+        self.within = {i: {j for j, b in enumerate(self.sets) if inside(a, b)} - self.alike[i] for i, a in enumerate(self.sets)}
         self.short = [i for i, s in enumerate(self.sets) if len(s) < SHORT]
         self.classes: dict[int, list[int]] = {}
         for i, s in enumerate(self.sets):
@@ -170,10 +173,18 @@ class Templates:
             for i in of:
                 self.top[c][np.arange(BANDS), (self.sign[i] >> _U(48)).astype(np.int64)] = True
 
-    def _inside(self, i: int, window: np.ndarray) -> np.ndarray:
-        """Positions in the window of the template's shingles, if it holds enough of them."""
-        at = np.flatnonzero(np.isin(window, self.sets[i]))
-        return at if len(np.unique(window[at])) >= CONTAINMENT * len(self.sets[i]) else at[:0]
+    def _inside(self, i: int, window: np.ndarray) -> list[tuple[int, int]]:
+        """First and last position of the template in the window, if that holds enough of its distinct shingles.
+
+        Where stretches apart from each other hold enough, each stands for itself.
+        """
+        own = self.sets[i]
+        at = np.flatnonzero(np.isin(window, own))
+        enough = lambda x: len(np.unique(window[x])) >= CONTAINMENT * len(own)
+        if not enough(at):
+            return []
+        parts = [x for x in np.split(at, np.flatnonzero(np.diff(at) > max(SHORT, len(own) // 4)) + 1) if enough(x)]
+        return [(int(x[0]), int(x[-1])) for x in parts or [at]]
 
     def find(self, value: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, float]]:
         """(text, template, first shingle, last shingle, containment), overlapping finds joined."""
@@ -187,9 +198,7 @@ class Templates:
             size = len(self.sets[i])
             own = np.isin(value[maybe], self.sets[i])
             for p, d in zip(maybe[own].tolist(), doc_of[own].tolist(), strict=True):
-                inside = self._inside(i, value[p : min(p + size + size // 4, at[d + 1])])
-                if len(inside):
-                    found.append((d, i, p + int(inside[0]), p + int(inside[-1])))
+                found += [(d, i, p + x, p + y) for x, y in self._inside(i, value[p : min(p + size + size // 4, at[d + 1])])]
         if self.classes:
             found += self._long(value, at)
         out: list[tuple[int, int, int, int]] = []
@@ -201,17 +210,19 @@ class Templates:
         return self._best([(d, i, a, b, round(len(np.intersect1d(value[a : b + 1], self.sets[i])) / len(self.sets[i]), 6)) for d, i, a, b in out])
 
     def _best(self, found: list[tuple[int, int, int, int, float]]) -> list[tuple[int, int, int, int, float]]:
-        """Without the finds whose place a template much alike explains better; adjoining finds that were joined all stand."""
+        """Without the finds whose place a template much alike explains better, and those within a longer template that holds them; adjoining finds that were joined all stand."""
         by_doc: dict[int, list[tuple[int, int, int, int, float]]] = {}
         for x in found:
             by_doc.setdefault(x[0], []).append(x)
 
         def beaten(d: int, i: int, a: int, b: int, share: float) -> bool:
+            if any(j in self.within[i] and e <= a and b <= f for _, j, e, f, _ in by_doc[d]):
+                return True
             if b - a + 1 > 1.5 * len(self.sets[i]):
                 return False
             return any(j in self.alike[i] and more > share and 2 * (min(b, f) - max(a, e) + 1) > b - a + 1 for _, j, e, f, more in by_doc[d])
 
-        return [x for x in found if not (self.alike[x[1]] and beaten(*x))]
+        return [x for x in found if not ((self.alike[x[1]] or self.within[x[1]]) and beaten(*x))]
 
     def _long(self, value: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
         found = []
@@ -236,9 +247,7 @@ class Templates:
                     a, b = int(start[w]), int(min(start[w] + 2 * c, at[doc[w] + 1]))
                     for i in self.classes[c]:
                         if (both[w] == self.sign[i]).any():
-                            inside = self._inside(i, value[a:b])
-                            if len(inside):
-                                found.append((int(doc[w]), i, a + int(inside[0]), a + int(inside[-1])))
+                            found += [(int(doc[w]), i, a + x, a + y) for x, y in self._inside(i, value[a:b])]
             if c >= max(self.classes):
                 return found
             # blocks of twice the size
@@ -283,8 +292,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
 
     ``templates``: name -> text of one word or more; the built-in notices if
     none are given. Those of fewer than five words match whole or not at all.
-    They are held by every task, and are as few as licenses are. A text that
-    holds two templates, one within the other, gets a row for each. Null, empty
+    They are held by every task, and are as few as licenses are. Where a template
+    is found within a longer one that holds it, only the longer one is. Null, empty
     and short texts match nothing that they do not hold. Repeated rows match
     alike; null ids are returned as they come; other columns are ignored; an
     empty table gives an empty result.

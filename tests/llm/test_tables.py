@@ -310,6 +310,14 @@ def test_scan_tells_versions_of_a_license_apart(spark):
     assert {(x["doc_id"], x["license"]) for x in got} == set(enumerate(names))
 
 
+def test_scan_names_the_longer_of_nested_templates(spark):
+    names = ["BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "Apache-2.0-line", "MIT", "CC-BY-4.0-line", "CC-BY-ND-4.0-line", "CC-BY-NC-4.0-long-line"]
+    rows = [(k, "x y " + licenses.TEMPLATES[n] + " z") for k, n in enumerate(names)]
+    rows.append((100, licenses.TEMPLATES["BSD-3-Clause"] + " pause " * 30 + licenses.TEMPLATES["BSD-2-Clause"]))
+    got = Counter((x["doc_id"], x["license"]) for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter(enumerate(names)) + Counter([(100, "BSD-3-Clause"), (100, "BSD-2-Clause")])
+
+
 # --- bpe and the pipeline --------------------------------------------------------------------
 
 
