@@ -15,6 +15,7 @@ digits, so a word parted into a longer piece and another is not rejoined.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,7 @@ FRAGMENT, FRAGMENT_CHARS = 3, 5
 _LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 _ANY = "abcdefghijklmnopqrstuvwxyz"
 _SYMBOLS = 28  # 0: a boundary, 1 to 26: a to z, 27: other letters
+_CODE = {c: k + 1 for k, c in enumerate(_ANY)}
 _CLASS = np.zeros(256, np.int64)
 _CLASS[97:123] = np.arange(1, 27)
 _CLASS[128:] = 27
@@ -106,21 +108,30 @@ def decode(text: str, cost: np.ndarray | list[float]) -> str:
     """The likeliest reading of a lower-case passage; words are split by single blanks. ``cost``: as an array, or its items in a list."""
     if not isinstance(cost, list):
         cost = cost.ravel().tolist()
-    code = lambda c: 0 if c == " " else ord(c) - 96 if "a" <= c <= "z" else 27
-    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-    for k in range(len(text)):
-        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-        arcs = [(c, channel, code(c) if c else 0) for c, channel in _arcs(text, k)]
-        for (a, b), (total, path) in states.items():
-            for c, channel, x in arcs:
-                if c == "" or (c == " " and b == 0):
-                    key, value, new = (a, b), total + channel, path
-                else:
-                    key, value, new = (b, x), total + channel + cost[(a * _SYMBOLS + b) * _SYMBOLS + x], (path, c)
+    # a state is the last two symbols, as one number
+    states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+    last = ""
+    for k, c in enumerate(text):
+        after: dict[int, tuple[float, tuple | None]] = {}
+        if c != last and c.isalpha():  # the one reading, as is
+            x = _CODE.get(c, 27)
+            for s, (total, path) in states.items():
+                key, value = s % _SYMBOLS * _SYMBOLS + x, total + cost[s * _SYMBOLS + x]
                 if key not in after or value < after[key][0]:
-                    after[key] = (value, new)
-        states = after
-    _, path = min(((v + cost[(a * _SYMBOLS + b) * _SYMBOLS], p) for (a, b), (v, p) in states.items()), key=lambda x: x[0])
+                    after[key] = (value, (path, c))
+        else:
+            arcs = [(r, channel, 0 if r in ("", " ") else _CODE.get(r, 27)) for r, channel in _arcs(text, k)]
+            for s, (total, path) in states.items():
+                b = s % _SYMBOLS
+                for r, channel, x in arcs:
+                    if r == "" or (r == " " and b == 0):
+                        key, value, new = s, total + channel, path
+                    else:
+                        key, value, new = b * _SYMBOLS + x, total + channel + cost[s * _SYMBOLS + x], (path, r)
+                    if key not in after or value < after[key][0]:
+                        after[key] = (value, new)
+        states, last = after, c
+    _, path = min(((v + cost[s * _SYMBOLS], p) for s, (v, p) in states.items()), key=lambda x: x[0])
     out = []
     while path:
         path, c = path
@@ -138,16 +149,22 @@ def passages(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if not len(starts):
         return none, none, none
     letter, char = _LETTER[raw], _IS_CHAR[raw]
-    inner = _IS_MARK[raw] & ~W.SPACE[raw]
-    inner[starts] = inner[ends - 1] = False
-    hit = _IS_LEET[raw] | inner
+    # marks between letters or digits of one word; those around it are boundaries in any reading
+    mark, at = _IS_MARK[raw] & ~W.SPACE[raw], np.arange(n)
+    solid = ~mark & ~W.SPACE[raw]
+    begins, stops = np.zeros(n, np.int64), np.full(n, n)
+    begins[starts], stops[ends - 1] = starts, ends
+    before = np.maximum.accumulate(np.where(solid, at, -1)) >= np.maximum.accumulate(begins)
+    behind = np.minimum.accumulate(np.where(solid, at, n)[::-1])[::-1] < np.minimum.accumulate(stops[::-1])[::-1]
+    hit = _IS_LEET[raw] | (mark & before & behind)
     hit[:-1] |= (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))
     for k in range(1, min(4, n // 2) + 1):  # a letter of k bytes, twice
         same = raw[:-k] == raw[k:]
         twice = same[: n - 2 * k + 1].copy()
         for m in range(1, k):
             twice &= same[m : n - 2 * k + 1 + m]
-        hit[: len(twice)] |= twice & letter[: len(twice)] & char[: len(twice)]
+        lead = raw[: len(twice)]
+        hit[: len(twice)] |= twice & letter[: len(twice)] & ((lead < 0x80) if k == 1 else (lead >= 0xC0))
     # a match that begins in a text's last bytes can run into the next text; a lattice of that word alone is harmless
     word = np.unique(np.searchsorted(starts, np.flatnonzero(hit), side="right") - 1)
     # blanks before a text's first word belong to no word
@@ -166,26 +183,38 @@ def passages(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return doc, np.concatenate((starts[word], starts[begin])), np.concatenate((ends[word], ends[end]))
 
 
+#: By model, of which a worker keeps one: passages and their readings.
+_readings: dict[bytes, dict[bytes, bytes]] = {}
+
+
 class Features:
-    """The featuriser; readings are remembered per worker, and forgotten when there are many."""
+    """The featuriser; a worker remembers readings from task to task, and forgets them when there are many."""
 
     def __init__(self, cost: np.ndarray):
         self.cost = cost.astype(np.float32)
+        self.name = hashlib.blake2b(self.cost.tobytes(), digest_size=16).digest()
         self.items: list[float] = []
-        self.read: dict[bytes, bytes] = {}
 
     def __getstate__(self):
-        return {"cost": self.cost, "items": [], "read": {}}
+        return {"cost": self.cost, "name": self.name, "items": []}
+
+    @property
+    def read(self) -> dict[bytes, bytes]:
+        if self.name not in _readings:
+            _readings.clear()
+            _readings[self.name] = {}
+        return _readings[self.name]
 
     def restored(self, piece: bytes) -> bytes:
-        out = self.read.get(piece)
+        read = self.read
+        out = read.get(piece)
         if out is None:
-            if len(self.read) > 200_000:
-                self.read.clear()
+            if len(read) > 150_000:
+                read.clear()
             self.items = self.items or self.cost.ravel().tolist()
             out = decode(piece.decode("utf-8", "replace"), self.items).encode()
             if len(piece) <= 256:
-                self.read[piece] = out
+                read[piece] = out
         return out
 
     def _words(self, raw, offsets):
