@@ -26,8 +26,10 @@ import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 
+from lexiquarry.llm import wordhash as W
+
 SMALL = 32
-REMEMBERED, SHORT = 128 << 20, 64
+REMEMBERED, SHORT = 48 << 20, 64
 _BLANK = "\t-\r \x85\xa0  -     　"
 #: The pattern of byte-level BPE, with Unicode's White_Space spelt out.
 _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
@@ -312,7 +314,7 @@ def model(path: str) -> Model:
     return _models[path]
 
 
-def _groups(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def _groups(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     size = a = 0
     sizes = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
     for b, n in enumerate(sizes):
@@ -325,6 +327,7 @@ def _groups(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
 
 
 def _run(path: str, digests: bool):
+    @W.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         gc.disable()  # nothing here makes cycles, and each collection would walk what is remembered

@@ -64,6 +64,7 @@ def _grouped(features, raw, offsets):
 
 
 def _featured(features):
+    @W.released
     def run(batches):
         for batch in batches:
             raw, offsets = W.texts(batch.column("text"))
@@ -77,6 +78,7 @@ def _featured(features):
 
 
 def _trained(params: Params):
+    @W.released
     def run(batches):
         rows = []
         for batch in batches:
@@ -107,6 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, features, params: Params, sample: in
 
 
 def _scored(features, weights, name: str):
+    @W.released
     def run(batches):
         w = weights.value
         for batch in batches:

@@ -259,6 +259,7 @@ class Templates:
 
 
 def _run(texts: dict[str, str]):
+    @W.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         long, short = _parts(texts)
         templates = Templates(long) if long else None

@@ -45,8 +45,8 @@ ERRORS = 23
 STRAYS, OTHERS = 256, 1024
 #: Followers that meet one copy of their leader.
 FOLLOWERS = 2048
-#: Bits of the filter in front of a fetch; 4 MB, whatever the data.
-FILTER_BITS = 1 << 25
+#: Bits of the filter in front of a fetch, in 64-bit words; 131072 rows at most, whatever the data.
+FILTER_BITS = 1 << 23
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(77))
 _HASH = _rng.integers(1, 1 << 63, BLOCKS * WIDTH, dtype=np.uint64) * _U(2) + _U(1)
@@ -84,6 +84,7 @@ def _sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _signed(n: int):
     """The columns after the text are passed on."""
 
+    @W.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = W.texts(batch.column(0))
@@ -115,6 +116,7 @@ def _symbols(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BLOCKS * WIDTH)
 
 
+@W.released
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     per = BLOCKS * WIDTH
     for batch in batches:
@@ -128,6 +130,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@W.released
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose signatures differ in at most ``ERRORS`` symbols."""
     for batch in batches:
@@ -150,6 +153,7 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def _starred(n: int, percent: int):
     """Rows ordered by (leader, chunk, side): a leader (side 0) and its followers -> links. One leader's set is held."""
 
+    @W.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         star, center = None, None
         for batch in batches:
@@ -281,14 +285,12 @@ def _fetched(scratch: Scratch, docs: DataFrame, wanted: DataFrame) -> DataFrame:
     A filter of fixed size keeps most other texts from the shuffle; where it
     is full, more of them pass and the join alone decides.
     """
-    place = F.expr(f"pmod(k, {FILTER_BITS}L)")
-    bits = wanted.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
-    bits = scratch.keep(bits)  # FILTER_BITS / 32768 rows of 4 KB at most
-    maybe = docs.select("k", "text", F.expr(f"bitmap_bucket_number(pmod(k, {FILTER_BITS}L))").alias("bucket"), F.expr(f"cast(bitmap_bit_position(pmod(k, {FILTER_BITS}L)) as int)").alias("bit"))
-    maybe = maybe.join(F.broadcast(bits), "bucket").where("getbit(cast(conv(hex(substring(bits, bit div 8 + 1, 1)), 16, 10) as long), bit % 8) = 1")
+    word, bit = F.expr(f"pmod(k, {FILTER_BITS}L) div 64").alias("word"), F.expr("shiftleft(1L, cast(pmod(k, 64L) as int))").alias("bit")
+    words = scratch.keep(wanted.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits")))
+    maybe = docs.select("k", "text", word, bit).join(F.broadcast(words), "word").where("bits & bit <> 0")
     texts = maybe.groupBy("k").agg(F.first("text").alias("text"))  # repeated rows meet here, partly before the shuffle
     out = scratch.keep(texts.join(wanted, "k").select("rep", "text"))
-    scratch.drop(bits)
+    scratch.drop(words)
     return out
 
 

@@ -21,6 +21,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lexiquarry.llm import wordhash as W
+
 REMEMBERED, SHORT = 500_000, 64
 _BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -104,6 +106,7 @@ def count_text(c: Counter, text: str | None) -> int:
 
 
 def _run(path: str, byte_fallback: bool):
+    @W.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path, byte_fallback)
         gc.disable()  # nothing here makes cycles
