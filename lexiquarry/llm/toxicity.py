@@ -15,7 +15,6 @@ digits, so a word parted into a longer piece and another is not rejoined.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,7 +51,7 @@ _IS_CHAR = np.ones(256, bool)
 _IS_CHAR[0x80:0xC0] = False
 
 
-
+@W.released
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(_SYMBOLS**3, np.int64)
     for batch in batches:
@@ -183,38 +182,26 @@ def passages(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return doc, np.concatenate((starts[word], starts[begin])), np.concatenate((ends[word], ends[end]))
 
 
-#: By model, of which a worker keeps one: passages and their readings.
-_readings: dict[bytes, dict[bytes, bytes]] = {}
-
-
 class Features:
-    """The featuriser; a worker remembers readings from task to task, and forgets them when there are many."""
+    """The featuriser; a task remembers readings, and forgets them when there are many."""
 
     def __init__(self, cost: np.ndarray):
         self.cost = cost.astype(np.float32)
-        self.name = hashlib.blake2b(self.cost.tobytes(), digest_size=16).digest()
         self.items: list[float] = []
+        self.read: dict[bytes, bytes] = {}
 
     def __getstate__(self):
-        return {"cost": self.cost, "name": self.name, "items": []}
-
-    @property
-    def read(self) -> dict[bytes, bytes]:
-        if self.name not in _readings:
-            _readings.clear()
-            _readings[self.name] = {}
-        return _readings[self.name]
+        return {"cost": self.cost, "items": [], "read": {}}
 
     def restored(self, piece: bytes) -> bytes:
-        read = self.read
-        out = read.get(piece)
+        out = self.read.get(piece)
         if out is None:
-            if len(read) > 150_000:
-                read.clear()
+            if len(self.read) > 100_000:
+                self.read.clear()
             self.items = self.items or self.cost.ravel().tolist()
             out = decode(piece.decode("utf-8", "replace"), self.items).encode()
             if len(piece) <= 256:
-                read[piece] = out
+                self.read[piece] = out
         return out
 
     def _words(self, raw, offsets):
@@ -233,8 +220,14 @@ class Features:
 
     def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raw = W.LOWER[raw]
-        value, doc = self._hashed(raw, *self._words(raw, offsets))
+        words = self._words(raw, offsets)
         where, begin, end = passages(raw, offsets)
+        if len(where):
+            # what a passage is read as stands in place of its words
+            depth = np.bincount(begin, minlength=len(raw) + 1) - np.bincount(end, minlength=len(raw) + 1)
+            free = np.cumsum(depth)[words[0]] == 0
+            words = tuple(w[free] for w in words)
+        value, doc = self._hashed(raw, *words)
         if len(where):
             # each passage once a text
             _, one = np.unique(W.mix(W.hashes(raw, begin, end) + W.mix(where.astype(np.uint64))), return_index=True)
