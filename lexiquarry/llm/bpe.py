@@ -27,6 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from lexiquarry.llm import wordhash as W
+from lexiquarry.llm.scratch import small_batches
 
 SMALL = 32
 REMEMBERED, SHORT = 48 << 20, 64
@@ -368,9 +369,9 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     no ids, decoded to the empty text. Repeated rows and null ids are returned
     as they come; other columns are ignored; an empty table stays empty.
     """
-    return _input(docs).mapInArrow(_run(path, False), "doc_id long, n_tokens long, ids array<int>, decoded string")
+    return small_batches(_input(docs)).mapInArrow(_run(path, False), "doc_id long, n_tokens long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """As ``encode_decode``, with SHA-256 digests in place of ids and decoded text."""
-    return _input(docs).mapInArrow(_run(path, True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(_input(docs)).mapInArrow(_run(path, True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from lexiquarry.llm import wordhash as W
+from lexiquarry.llm.scratch import small_batches
 
 
 @dataclass(frozen=True)
@@ -102,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, features, params: Params, sample: in
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text", F.xxhash64("text").alias("h"))
-    table = rows.mapInArrow(_featured(features), "doc_id long, label int, h long, i binary, v binary")
+    table = small_batches(rows).mapInArrow(_featured(features), "doc_id long, label int, h long, i binary, v binary")
     table = table.groupBy("doc_id").agg(F.min(F.struct("h", "label", "i", "v")).alias("x")).select("doc_id", "x.label", "x.i", "x.v")
     got = table.repartition(1).mapInArrow(_trained(params), "w binary").collect()
     return np.frombuffer(bytes(got[0][0]), np.float32).astype(float) if got else np.zeros((1 << params.bits) + 1)
@@ -126,7 +127,7 @@ def _scored(features, weights, name: str):
 def score(docs: DataFrame, features, weights: np.ndarray, name: str) -> DataFrame:
     """``docs`` with the column ``name``: the probability of label 1 for ``text``."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
-    return docs.mapInArrow(_scored(features, sent, name), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return small_batches(docs).mapInArrow(_scored(features, sent, name), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def summed(doc: np.ndarray, bucket: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lexiquarry.llm import wordhash as W
+from lexiquarry.llm.scratch import small_batches
 
 SHINGLE, CONTAINMENT, BANDS, SHORT, CLASS = 5, 0.8, 64, 8, 16
 
@@ -300,4 +301,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     empty table gives an empty result.
     """
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
-    return rows.mapInArrow(_run(TEMPLATES | NOTICES if templates is None else templates), "doc_id long, license string, start_byte long, end_byte long, containment double")
+    return small_batches(rows).mapInArrow(_run(TEMPLATES | NOTICES if templates is None else templates), "doc_id long, license string, start_byte long, end_byte long, containment double")

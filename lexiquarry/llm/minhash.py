@@ -38,11 +38,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexiquarry.llm import wordhash as W
 from lexiquarry.llm.components import components
-from lexiquarry.llm.scratch import Scratch
+from lexiquarry.llm.scratch import Scratch, small_batches
 
 BLOCKS, WIDTH = 8, 6
 ERRORS = 23
 STRAYS, OTHERS = 256, 1024
+#: Shingles of the strays and of the others in a block whose sets are compared, about: a block of long texts has fewer of them.
+BLOCK_SHINGLES = 1 << 19
 #: Followers that meet one copy of their leader.
 FOLLOWERS = 2048
 #: Bits of the filter in front of a fetch, in 64-bit words; 131072 rows at most, whatever the data.
@@ -262,15 +264,19 @@ def _block_links(n: int, percent: int):
     return run
 
 
-def _blocked(people: DataFrame, group: str, carry: list[str]) -> DataFrame:
+def _blocked(people: DataFrame, group: str, carry: list[str], size: str = "0L") -> DataFrame:
     """Comparison tasks (group, i, j) over rows (group, rep, comp, *carry).
 
     A group's strays lie outside its most frequent component. Block i of them
     (side 0) meets block j of the strays (j >= i) or of the others (side 1).
+    ``size``: what a row counts towards ``BLOCK_SHINGLES``.
     """
-    per = people.groupBy(group, "comp").agg(F.count("*").alias("n"))
-    main = per.groupBy(group).agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all"))
-    main = main.select(group, F.col("m.comp").alias("main"), F.ceil(F.col("m.n") / OTHERS).cast("int").alias("nm"), F.ceil((F.col("all") - F.col("m.n")) / STRAYS).cast("int").alias("ns"))
+    per = people.groupBy(group, "comp").agg(F.count("*").alias("n"), F.sum(F.expr(size)).alias("s"))
+    main = per.groupBy(group).agg(F.max(F.struct("n", "comp", "s")).alias("m"), F.sum("n").alias("all"), F.sum("s").alias("sum"))
+    blocks = lambda n, most, s: F.ceil(F.greatest(n / most, s / BLOCK_SHINGLES)).cast("int")
+    others = blocks(F.col("m.n"), OTHERS, F.col("m.s"))
+    strays = blocks(F.col("all") - F.col("m.n"), STRAYS, F.col("sum") - F.col("m.s"))
+    main = main.select(group, F.col("m.comp").alias("main"), others.alias("nm"), strays.alias("ns"))
     people = people.join(main, group).withColumn("stray", F.expr("comp <> main"))
     people = people.withColumn("at", F.expr("cast(pmod(xxhash64(rep), if(stray, ns, nm)) as int)"))
     own = [group, "rep", "comp", *carry]
@@ -322,7 +328,7 @@ def _classes(scratch: Scratch, docs: DataFrame, signed: DataFrame, shingle: int,
     wanted = reps.join(pairs.select("rep").union(pairs.select("leader")).distinct(), "rep", "left_semi").select("rep", "k")
     texts = _fetched(scratch, docs, wanted)
     stars = stars.join(texts, "rep").select("leader", "chunk", "side", "rep", "text").repartition("leader", "chunk").sortWithinPartitions("leader", "chunk", "side")
-    links = scratch.keep(stars.mapInArrow(_starred(shingle, percent), "u long, v long"))
+    links = scratch.keep(small_batches(stars).mapInArrow(_starred(shingle, percent), "u long, v long"))
     scratch.drop(texts, pairs)
     comps = components(scratch, links)
 
@@ -338,9 +344,9 @@ def _classes(scratch: Scratch, docs: DataFrame, signed: DataFrame, shingle: int,
         tasks = tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         forest = scratch.keep(tasks.mapInArrow(_plausible(percent), "u long, v long"))
         groups = components(scratch, forest).withColumnRenamed("id", "rep").withColumnRenamed("component", "grp")
-        people = scratch.keep(loose.select("rep", "comp").distinct().join(groups, "rep"))
+        people = scratch.keep(loose.select("rep", "comp").distinct().join(groups, "rep").join(reps.select("rep", "n_shingles"), "rep"))
         texts = _fetched(scratch, docs, reps.join(people, "rep", "left_semi").select("rep", "k"))
-        tasks = _blocked(people, "grp", []).join(texts, "rep")
+        tasks = _blocked(people, "grp", [], "n_shingles").join(texts, "rep")
         more = scratch.keep(tasks.groupBy("grp", "i", "j").applyInArrow(_block_links(shingle, percent), "u long, v long"))
         scratch.drop(texts, people, forest)
         comps = components(scratch, links.unionByName(more))
@@ -372,7 +378,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 2, perc
     """
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("k", F.xxhash64("doc_id", "text"))
-    signed = scratch.keep(docs.select("text", "doc_id", "k").mapInArrow(_signed(shingle), f"doc_id long, k long, {_SET}"))
+    signed = scratch.keep(small_batches(docs.select("text", "doc_id", "k")).mapInArrow(_signed(shingle), f"doc_id long, k long, {_SET}"))
     classes = _classes(scratch, docs, signed.where("doc_id is not null"), shingle, percent)
     of = signed.select("doc_id", *_ON).join(classes, _ON, "left")
     least = of.where("rep_class is not null").groupBy("rep_class").agg(F.min("doc_id").alias("cls"))
@@ -395,7 +401,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent:
     every = [F.col(f"`{c}`") for c in docs.columns]
     named = docs.select(F.struct(*every).alias("row"), F.xxhash64(F.lit(1), *every).alias("h1"), F.xxhash64(F.lit(2), *every).alias("h2"))
     rows = named.select(F.col("row.text").cast("string").alias("text"), F.col("row.doc_id").cast("long").alias("doc_id"), "h1", "h2").withColumn("k", F.xxhash64("doc_id", "text"))
-    signed = scratch.keep(rows.mapInArrow(_signed(shingle), f"doc_id long, h1 long, h2 long, k long, {_SET}"))
+    signed = scratch.keep(small_batches(rows).mapInArrow(_signed(shingle), f"doc_id long, h1 long, h2 long, k long, {_SET}"))
     classes = _classes(scratch, rows, signed, shingle, percent)
     lines = signed.where("n_shingles > 0").groupBy("h1", "h2", "doc_id", *_ON).agg(F.count("*").alias("times")).join(classes, _ON)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "h1", "h2")

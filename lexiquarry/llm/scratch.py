@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session.
@@ -24,6 +27,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that gives Python at most ``BATCH`` bytes (or one row) a batch.
+
+    A task holds a batch several times over, in the JVM and in its worker, and
+    rows of very long texts would make large ones of few rows.
+    """
+    spark = df.sparkSession
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))
+    if not 0 < now <= BATCH:
+        spark.conf.set(_BATCH, f"{BATCH}b")
+    return df
+
+
 class Scratch:
     """Written tables of one query. They cut lineage and outlive executors."""
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lexiquarry.llm import ftrl, wordhash as W
+from lexiquarry.llm.scratch import small_batches
 
 PARAMS = ftrl.Params(bits=18, alpha=1.0, l1=3.0, epochs=8)
 #: Labelled rows to learn from, at most.
@@ -69,7 +70,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def language_model(docs: DataFrame) -> np.ndarray:
     """Costs, -ln p(c | a, b), as an array [a, b, c], from the trigrams of all texts."""
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(_counted, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    rows = small_batches(docs.select(F.col("text").cast("string"))).mapInArrow(_counted, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(_SYMBOLS**3)
     for code, k in rows:  # at most 28 ** 3
         n[code] = k

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lexiquarry.llm import wordhash as W
+from lexiquarry.llm.scratch import small_batches
 
 REMEMBERED, SHORT = 500_000, 64
 _BLANK = "▁"
@@ -129,4 +130,4 @@ def token_counts(docs: DataFrame, path: str, byte_fallback: bool = True) -> Data
     are ignored; an empty table stays empty.
     """
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
-    return rows.mapInArrow(_run(path, byte_fallback), "doc_id long, n_tokens long")
+    return small_batches(rows).mapInArrow(_run(path, byte_fallback), "doc_id long, n_tokens long")
