@@ -35,7 +35,7 @@ def small_batches(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))
-    if not 0 < now <= BATCH:
+    if now > BATCH:
         spark.conf.set(_BATCH, f"{BATCH}b")
     return df
 

@@ -145,6 +145,7 @@ def test_deduplicate_equals_brute_force(spark, monkeypatch, small):
         monkeypatch.setattr(minhash, "FOLLOWERS", 2)
         monkeypatch.setattr(minhash, "STRAYS", 2)
         monkeypatch.setattr(minhash, "OTHERS", 3)
+        monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 40)
         monkeypatch.setattr(minhash, "FILTER_BITS", 1 << 7)
     r = random.Random(5)
     texts = [(d, t) for d, t in corpus() if not t or len(t) < 5000]

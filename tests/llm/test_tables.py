@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from lexiquarry.llm import bpe, licenses, mixing, sharding
 from lexiquarry.llm.queries import tokenizer_file
+from lexiquarry.llm.scratch import BATCH, small_batches
 
 SF = "/root/testdata/sf0.001"
 
@@ -398,3 +400,22 @@ def test_scan_edge_cases(spark):
     got = licenses.scan(docs).collect()
     assert Counter((r["doc_id"], r["license"]) for r in got) == {(1, "MIT-line"): 2, (None, "MIT-line"): 1}
     assert licenses.scan(docs.where("false")).count() == 0
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    rows = spark.range(0, 600, 1, 1).selectExpr("id", "repeat('x', 20000) AS text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    try:
+        for limit, held in (("64m", f"{BATCH}b"), ("1m", "1m")):
+            spark.conf.set(name, limit)
+            counts = [r.n for r in small_batches(rows).mapInArrow(sizes, "n long").collect()]
+            assert spark.conf.get(name) == held  # a smaller limit stays
+            assert sum(counts) == 600 and max(counts) < 300
+    finally:
+        spark.conf.set(name, before)
