@@ -108,6 +108,16 @@ def test_postings_need_no_shuffle(spark):
     assert [(r["doc_id"], r["doc_len"]) for r in made.doc_stats.orderBy("doc_id").collect()] == [(0, 3), (1, 0), (2, 0), (3, 1), (4, 200)]
 
 
+def test_a_persisted_index_counts_the_words_asked_for_alone(spark):
+    kept = ix.build(spark.range(300).selectExpr("id AS doc_id", "'t' AS title", "concat('was w', id % 7, ' v', id) AS content")).persist()
+    for frame in (kept.df_of(["was"]), kept.vocab().where(F.col("term").startswith("w"))):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 <= plan.find("Aggregate") < plan.find("Filter") < plan.find("InMemoryRelation")
+    assert [(r["term"], r["df"]) for r in search.autocomplete(kept, "w", 3).collect()] == [("was", 300), ("w0", 43), ("w1", 43)]
+    assert search.exact(kept, "was").count() == 300
+    kept.unpersist()
+
+
 def test_rebuilding_leaves_positions_in_their_rows(noise):
     _, index = noise
     again = ix.rebuild(index)
