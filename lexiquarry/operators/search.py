@@ -187,17 +187,20 @@ def autocomplete(index: Index, query: str, k: int | None = 20) -> DataFrame:
     """rank, term, df: words with the prefix or, failing that, those that share most of it, 60 % of the query at least.
 
     One pass in place of a search for ever shorter prefixes: what such a search
-    finds first are the words of the longest common prefix.
+    finds first are the words of the longest common prefix. Words that share
+    too little are not counted.
     """
     q = query.strip().lower()
     q = q.split(" ")[-1] if q else q
-    vocab = index.vocab()
+    dfs = index.dfs()
     if not q:
-        return vocab.where(F.lit(False)).select(F.lit(1).alias("rank"), "term", "df")
-    near = vocab.where(F.col("term").startswith(q[: max(1, min(2, len(q)))])).withColumn("lcp", common_prefix(F.col("term"), q))
-    best = near.agg(F.max("lcp").alias("top"))
-    least = max(2, math.ceil(0.6 * len(q) - 1e-9))
-    hits = near.join(F.broadcast(best)).where((F.col("lcp") == F.col("top")) & ((F.col("top") == len(q)) | ((F.lit(len(q)) > 2) & (F.col("top") >= least))))
+        return dfs.where(F.lit(False)).select(F.lit(1).alias("rank"), "term", "df")
+    least = len(q) if len(q) <= 2 else max(2, math.ceil(0.6 * len(q) - 1e-9))
+    hits = dfs.where(F.col("term").startswith(q[:least]))
+    if least < len(q):
+        near = hits.withColumn("lcp", common_prefix(F.col("term"), q))
+        best = near.agg(F.max(F.struct("lcp", "df")).alias("m")).select(F.col("m.lcp").alias("top"))  # df too: else words would be counted once for this and once for the hits
+        hits = near.join(F.broadcast(best), F.col("lcp") == F.col("top"))
     top = hits.orderBy(F.desc("df"), F.length("term"), "term")
     top = top.limit(k) if k is not None else top
     rank = F.row_number().over(Window.orderBy(F.desc("df"), F.length("term"), "term"))

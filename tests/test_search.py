@@ -236,6 +236,37 @@ def test_autocompletion_against_the_loop(spark):
         assert [x["term"] for x in search.autocomplete(index, q, None).orderBy("rank").collect()] == _completed(vocab, q), q
 
 
+def _ran(frame):
+    """The rows, and the final plan of what ran for them."""
+    rows = frame.collect()
+    return rows, frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_autocompletion_counts_words_as_documents_are_read(spark, tmp_path):
+    r = random.Random(8)
+    words = ["".join(r.choice("abc") for _ in range(r.randint(1, 7))) for _ in range(60)]
+    docs = [" ".join(r.choice(words) for _ in range(10)) for _ in range(20)] + ["", None]
+    spark.createDataFrame([(k, "t", d) for k, d in enumerate(docs)], "doc_id long, title string, content string").write.parquet(f"{tmp_path}/docs")
+    made = ix.build(spark.read.parquet(f"{tmp_path}/docs"))
+    vocab = Counter(w for d in docs if d for w in set(d.split()))
+    assert {x["term"]: x["df"] for x in made.dfs().collect()} == vocab
+    made.save(f"{tmp_path}/index")
+    stored, queries = ix.Index.load(spark, f"{tmp_path}/index"), ["a", "ab", "abc", "abzz", "aabbz", "ccczz", "bacabzzz", "zz"]
+    for q in queries:
+        rows, plan = _ran(search.autocomplete(made, q, None))
+        assert [x["term"] for x in rows] == [x["term"] for x in search.autocomplete(stored, q, None).collect()] == _completed(vocab, q), q
+        assert [x["df"] for x in rows] == [vocab[x["term"]] for x in rows]
+        assert "position" not in plan and plan.count("FileScan") <= 1, plan
+
+
+@pytest.mark.parametrize("name", ["autocomplete", "autocomplete_fallback"])
+def test_autocompletion_keeps_no_postings(spark, name):
+    from lexiquarry.plans import registry
+
+    _, plan = _ran(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert "InMemoryTableScan" not in plan and "position" not in plan
+
+
 @pytest.mark.parametrize(
     ("raw", "want"),
     [("Foo-Bar", "foo"), ("Foo-Bar BAZ", "foo baz"), ("Cat&&Dog || Big Bird", "cat && dog || big"), ("&& cat", "cat &&"), ("a && && b", "a &&  && b"), ("word#", "word"), ("pre*", "pre*"), ("&", "&"), ("  ", "  ")],
