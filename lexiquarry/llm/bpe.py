@@ -6,11 +6,13 @@ which changes at most three leaves: the merged pair and its two neighbours;
 each is a logarithmic point update. Encoding ends when the root is empty.
 
 Words of up to ``SMALL`` bytes are encoded many at a time, their trees being
-the rows of one array; longer ones have a tree of their own. Words repeat a
-lot, so a task remembers what it encoded, up to ``REMEMBERED`` bytes of words
-of at most ``SHORT`` characters, and then starts afresh: memory follows neither
-the vocabulary of the corpus nor texts without blanks, and a worker that waits
-holds the vocabulary file alone.
+the rows of one array, set right level by level; longer ones have a tree of their
+own. Words repeat a
+lot, so a task remembers what it encoded, in two halves of ``REMEMBERED`` bytes
+together and of words of at most ``SHORT`` characters: when the newer half is
+full the older one is dropped, and words met again move to the newer. Memory
+follows neither the vocabulary of the corpus nor texts without blanks, and a
+worker that waits holds the vocabulary file alone.
 """
 
 from __future__ import annotations
@@ -38,7 +40,9 @@ _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BL
 _TANGLED = regex.compile(rf" [{_BLANK}]|[{_BLANK}] ")
 _DOUBLE = ["  ", *(x for c in "\t\n\r\x0b\x0c" for x in (f" {c}", f"{c} "))]
 _RARE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_NONE = np.int64(1) << np.int64(62)
+#: Below it str.isalpha and \p{L} agree in any version of Unicode.
+_LATIN = "\u0250"
+_NONE = np.int32(1 << 30)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -64,6 +68,9 @@ class Model:
             self.token_bytes[i] = bytes(letters[c] for c in t)
         for t, i in self.special.items():
             self.token_bytes[i] = t.encode()
+        self._bytes = np.frombuffer(b"".join(self.token_bytes), np.uint8)
+        self._sizes = np.fromiter(map(len, self.token_bytes), np.int64, self.size)
+        self._starts = np.cumsum(self._sizes) - self._sizes
         self.of_byte = np.zeros(256, np.int64)
         for c, b in letters.items():
             self.of_byte[b] = vocab[c]
@@ -77,7 +84,7 @@ class Model:
         self._mask = (1 << bits) - 1
         self._key = np.full(1 << bits, -1, np.int64)
         self._rank = np.full(1 << bits, -1, np.int64)
-        self._made = np.zeros(1 << bits, np.int64)
+        self._made_of = np.zeros(len(spec["model"]["merges"]), np.int64)
         self._probes = 1
         for (a, b), (rank, made) in pairs.items():
             key = a * self.size + b
@@ -86,30 +93,31 @@ class Model:
                 k += 1
             self._probes = max(self._probes, k + 1)
             at = (h + k) & self._mask
-            self._key[at], self._rank[at], self._made[at] = key, rank, made
+            self._key[at], self._rank[at], self._made_of[rank] = key, rank, made
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.past_first: dict[str, bytes] = {}
+        self.past_later: dict[str, bytes] = {}
         self.held = 0
 
     def _slot(self, key):
         return ((key * 0x9E3779B1) >> 15) & self._mask
 
-    def _look(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank (or -1) and merged symbol of pairs."""
+    def _look(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of pairs, or -1."""
         key = a * self.size + b
         at = self._slot(key)
-        rank, made = np.full(len(key), -1, np.int64), np.zeros(len(key), np.int64)
+        rank = np.full(len(key), -1, np.int64)
         todo = np.arange(len(key))
         for _ in range(self._probes):
             have = self._key[at[todo]]
             hit = have == key[todo]
             rank[todo[hit]] = self._rank[at[todo[hit]]]
-            made[todo[hit]] = self._made[at[todo[hit]]]
             todo = todo[~hit & (have >= 0)]
             if not len(todo):
                 break
             at[todo] = (at[todo] + 1) & self._mask
-        return rank, made
+        return rank
 
     def encode_long(self, piece: bytes) -> list[int]:
         """One word, by a tree of its own."""
@@ -173,83 +181,89 @@ class Model:
         return out
 
     def _trees(self, pieces: list[bytes], sizes: np.ndarray, n: int) -> list[bytes]:
+        """Words of at most ``n`` bytes. A round makes one merge in every word, so the trees are set right level by level, all rows at once."""
         m = len(pieces)
         raw = np.frombuffer(b"".join([p.ljust(n, b"\0") for p in pieces]), np.uint8).reshape(m, n)
-        wide = self.of_byte[raw]
         col = np.arange(n)
-        # row r has its symbols at r * n and its tree, heap-ordered from 1, at r * 2n
-        ids = wide.reshape(-1)
-        live = (col < sizes[:, None]).reshape(-1)
-        after = np.tile(col + 1, m)
-        before = np.tile(col - 1, m)
-        tree = np.full(m * 2 * n, _NONE, np.int64)
-        shape = tree.reshape(m, 2 * n)
-        r, c = np.nonzero((col + 1) < sizes[:, None])
-        rank, _ = self._look(wide[r, c], wide[r, c + 1])
-        shape[r, n + c] = np.where(rank >= 0, rank * n + c, _NONE)
-        k = n
-        while k > 1:
-            shape[:, k // 2 : k] = np.minimum(shape[:, k : 2 * k : 2], shape[:, k + 1 : 2 * k : 2])
-            k //= 2
-
-        def update(rows: np.ndarray, at: np.ndarray, value: np.ndarray) -> None:
-            base = rows * (2 * n)
-            k = at + n
-            tree[base + k] = value
-            while True:
-                k = k >> 1
-                if not k[0]:
+        ids = self.of_byte[raw]
+        there = col < sizes[:, None]
+        # column n stands for the end of a word, and for what is before its start
+        after = np.tile(np.minimum(col + 1, n), (m, 1))
+        after[np.arange(m), sizes - 1] = n
+        before = np.tile(np.append((col - 1) % (n + 1), n), (m, 1))
+        leaves = np.full((m, n + 1), _NONE, np.int32)
+        r, c = np.nonzero(there[:, 1:])
+        rank = self._look(ids[r, c], ids[r, c + 1])
+        leaves[r, c] = np.where(rank >= 0, rank * n + c, _NONE)
+        out, kept = np.empty_like(ids), np.empty_like(there)
+        own = np.arange(m)  # where the rows at work belong
+        while True:
+            level = leaves[:, :n]
+            while level.shape[1] > 1:
+                level = np.minimum(level[:, ::2], level[:, 1::2])
+            root = level[:, 0]
+            live = np.flatnonzero(root < _NONE)
+            if 2 * len(live) < len(root) or not len(live):
+                ended = np.flatnonzero(root == _NONE)
+                out[own[ended]], kept[own[ended]] = ids[ended], there[ended]
+                if not len(live):
                     break
-                low = base + 2 * k
-                tree[base + k] = np.minimum(tree.take(low), tree.take(low + 1))
-
-        def refresh(rows: np.ndarray, at: np.ndarray) -> None:
-            place = rows * n + at
-            j = after.take(place)
-            ok = np.flatnonzero(j < sizes[rows])
-            value = np.full(len(rows), _NONE, np.int64)
-            if len(ok):
-                rank, _ = self._look(ids.take(place[ok]), ids.take(rows[ok] * n + j[ok]))
-                value[ok] = np.where(rank >= 0, rank * n + at[ok], _NONE)
-            update(rows, at, value)
-
-        rows = np.flatnonzero(shape[:, 1] < _NONE)
-        while len(rows):
-            base = rows * n
-            i = shape[rows, 1] % n
-            j = after.take(base + i)
-            _, made = self._look(ids.take(base + i), ids.take(base + j))
-            ids[base + i] = made
-            live[base + j] = False
-            nxt = after.take(base + j)
-            after[base + i] = nxt
-            ok = nxt < sizes[rows]
-            before[base[ok] + nxt[ok]] = i[ok]
-            update(rows, j, np.full(len(rows), _NONE, np.int64))
-            refresh(rows, i)
-            prev = before.take(base + i)
-            ok = prev >= 0
-            if ok.any():
-                refresh(rows[ok], prev[ok])
-            rows = rows[shape[rows, 1] < _NONE]
-        flat = ids[live].astype("<u4").tobytes()
-        cut = (np.concatenate(([0], np.cumsum(live.reshape(m, n).sum(axis=1)))) * 4).tolist()
+                ids, there, after, before, leaves, root, own = (x[live] for x in (ids, there, after, before, leaves, root, own))
+                live = np.arange(len(own))
+            best = root[live].astype(np.int64)
+            i = best % n
+            j = after[live, i]
+            nxt, prev = after[live, j], before[live, i]
+            ids[live, i] = made = self._made_of[best // n]
+            there[live, j] = False
+            after[live, i] = nxt
+            before[live, nxt] = i
+            leaves[live, j] = _NONE
+            ahead, back = np.flatnonzero(nxt < n), np.flatnonzero(prev < n)
+            left = np.concatenate((made[ahead], ids[live[back], prev[back]]))
+            right = np.concatenate((ids[live[ahead], nxt[ahead]], made[back]))
+            rank = self._look(left, right)
+            at = np.concatenate((i[ahead], prev[back]))
+            value = np.where(rank >= 0, rank * n + at, _NONE)
+            leaves[live, i] = _NONE
+            leaves[np.concatenate((live[ahead], live[back])), at] = value
+        flat = out[kept].astype("<u4").tobytes()
+        cut = (np.concatenate(([0], np.cumsum(kept.sum(axis=1)))) * 4).tolist()
         return [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
-    def _learn(self, units: list[str], into: dict[str, bytes], blank: str) -> None:
-        """Encode units - a blank or nothing, then text - and remember them."""
-        split = [_PIECE.findall(blank + u) for u in units]
-        pieces: set[str] = set()
-        for ps in split:
-            pieces.update(ps)
-        names = list(pieces)
-        raw = [p.encode() for p in names]
+    def _fresh(self, pieces: list[str]) -> list[bytes]:
+        """Each piece's ids, by trees."""
+        raw = [p.encode() for p in pieces]
+        out = [b""] * len(raw)
         short = [k for k, p in enumerate(raw) if len(p) <= SMALL]
-        ids = dict(zip([names[k] for k in short], self.encode_many([raw[k] for k in short]), strict=True))
-        for name, p in zip(names, raw, strict=True):
+        for k, ids in zip(short, self.encode_many([raw[k] for k in short]), strict=True):
+            out[k] = ids
+        for k, p in enumerate(raw):
             if len(p) > SMALL:
-                ids[name] = np.array(self.encode_long(p), "<u4").tobytes()
-        for u, ps in zip(units, split, strict=True):
+                out[k] = np.array(self.encode_long(p), "<u4").tobytes()
+        return out
+
+    def _learn(self, units: list[str], into: dict[str, bytes], blank: str) -> None:
+        """Encode units - a blank or nothing, then text - and remember them."""
+        odd, words = [], []
+        for u in units:
+            # the blank, if any, and Latin letters are one piece
+            (words if u.isalpha() and (u.isascii() or max(u) < _LATIN) else odd).append(u)
+        into.update(zip(words, self._fresh([blank + u for u in words]), strict=True))
+        if not odd:
+            return
+        split = [_PIECE.findall(blank + u) for u in odd]
+        ids: dict[str, bytes] = {}
+        for p in {p for ps in split for p in ps}:
+            # a piece that was a unit of its own
+            if p[0] == " ":
+                got = self.later.get(p[1:]) or self.past_later.get(p[1:])
+            else:
+                got = self.first.get(p) or self.past_first.get(p)
+            ids[p] = got or b""
+        fresh = [p for p, x in ids.items() if not x]
+        ids.update(zip(fresh, self._fresh(fresh), strict=True))
+        for u, ps in zip(odd, split, strict=True):
             into[u] = ids[ps[0]] if len(ps) == 1 else b"".join([ids[p] for p in ps])
 
     def _plain(self, text: str) -> list[tuple[dict, list[str]]]:
@@ -263,6 +277,8 @@ class Model:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
+        if 2 * self.held > REMEMBERED:
+            self._age()
         plans = []
         for t in texts:
             plan = []
@@ -275,34 +291,46 @@ class Model:
             elif t:
                 plan = self._plain(t)
             plans.append(plan)
-        if self.held > REMEMBERED:
-            self.forget()
         long: list[tuple[dict, str]] = []
-        for table, blank in ((self.first, ""), (self.later, " ")):
+        for table, past, blank in ((self.first, self.past_first, ""), (self.later, self.past_later, " ")):
             seen: set[str] = set()
             for plan in plans:
                 for t, us in plan:
                     if t is table:
                         seen.update(us)
             if new := seen.difference(table):
-                self._learn(list(new), table, blank)
+                again = new.intersection(past)
+                table.update((u, past[u]) for u in again)
+                self._learn(list(new - again), table, blank)
                 long += [(table, u) for u in new if len(u) > SHORT]
                 # as CPython holds them: two objects and their place in a table
-                self.held += sum(232 + len(u) + len(table[u]) for u in new if len(u) <= SHORT)
+                short = [u for u in new if len(u) <= SHORT]
+                self.held += 232 * len(short) + sum(map(len, short)) + sum(map(len, map(table.__getitem__, short)))
         out = [b"".join([us if t is None else b"".join(map(t.__getitem__, us)) for t, us in plan]) for plan in plans]
         for table, u in long:
             del table[u]
         return out
 
+    def _age(self) -> None:
+        """Forget what was not met since this was last done."""
+        self.past_first, self.first = self.first, {}
+        self.past_later, self.later = self.later, {}
+        self.held = 0
+
     def forget(self) -> None:
-        self.first.clear()
-        self.later.clear()
+        for table in (self.first, self.later, self.past_first, self.past_later):
+            table.clear()
         self.held = 0
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the decoded text; bytes that are no UTF-8 become U+FFFD, as in a lossy conversion."""
-        raw = b"".join(map(self.token_bytes.__getitem__, memoryview(ids).cast("I")))
-        return raw.decode("utf-8", "replace").encode()
+        tokens, parts = np.frombuffer(ids, "<u4"), []
+        for a in range(0, len(tokens), 1 << 15):
+            t = tokens[a : a + (1 << 15)]
+            sizes = self._sizes[t]
+            ends = np.cumsum(sizes)
+            parts.append(self._bytes[np.repeat(self._starts[t] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes())
+        return b"".join(parts).decode("utf-8", "replace").encode()
 
 
 _models: dict[str, Model] = {}

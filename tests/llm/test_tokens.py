@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -69,3 +70,14 @@ def test_memories_are_bounded(monkeypatch):
         assert m.encode(texts) == fresh.encode(texts)
         assert max(map(len, [*m.first, *m.later]), default=0) <= bpe.SHORT
     assert m.held < 40_000
+
+
+def test_words_met_again_are_not_encoded_again(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 20_000)
+    m, done = bpe.Model(tokenizer_file("byte_bpe_50k.json")), Counter()
+    many = m.encode_many
+    monkeypatch.setattr(m, "encode_many", lambda pieces: done.update(pieces) or many(pieces))
+    for k in range(200):
+        once = "".join(chr(97 + int(c)) for c in str(k))
+        m.encode([f"a common q{once} and common, too"])
+    assert done[b" common"] == 1
