@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 BATCH = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: For tables in a local folder: no checksum files. Hadoop's Java code starts a chmod for each file it makes there, and until
+#: that runs on its own, the system shows the executor's memory a second time.
+_BARE = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -52,7 +55,7 @@ class Scratch:
         """Write ``df`` as Parquet and read it back."""
         self._n += 1
         path = f"{self.root}/{self._n:04d}"
-        df.write.parquet(path)
+        df.write.options(**_BARE).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

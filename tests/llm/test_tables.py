@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from lexiquarry.llm import bpe, licenses, mixing, sharding
 from lexiquarry.llm.queries import tokenizer_file
-from lexiquarry.llm.scratch import BATCH, small_batches
+from lexiquarry.llm.scratch import BATCH, Scratch, small_batches
 
 SF = "/root/testdata/sf0.001"
 
@@ -419,3 +420,10 @@ def test_batches_are_bounded_by_bytes(spark):
             assert sum(counts) == 600 and max(counts) < 300
     finally:
         spark.conf.set(name, before)
+
+
+def test_scratch_tables_have_no_checksum_files(spark):
+    kept = Scratch(spark).keep(spark.range(1000).repartition(3))
+    assert sorted(r["id"] for r in kept.collect()) == list(range(1000))
+    names = [p.name for p in pathlib.Path(kept._scratch_path.removeprefix("file://")).iterdir()]
+    assert len(names) == 4 and not [n for n in names if n.endswith(".crc")]
